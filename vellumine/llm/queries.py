@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellumine.llm.consensus import agreement, consensus, latest_votes
 from vellumine.llm.neardup import document_pairs, near_duplicates
+from vellumine.llm.splitting import split_oversized
 from vellumine.plans.registry import Registry
 from vellumine.sources.tables import table
 
@@ -21,3 +23,89 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     coarse = _coarse(spark, sf_dir)
     pairs, members = near_duplicates(coarse, "chunk_id", "text", shingle=3, threshold=0.7)
     return document_pairs(pairs, members, coarse, "chunk_id", "paper_id").toDF("chunk_id_a", "chunk_id_b")
+
+
+LABELS = ["supports", "contradicts", "unrelated"]
+NOT_RATERS = ("adversarial",)
+
+
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = table(spark, sf_dir, "gold_pairs").select(F.col("id").alias("pair_id"), "annotator", "reviewer", "submitted_at", F.explode("claims").alias("c"))
+    by = lambda who: F.struct(F.col(who).alias("rater"), F.col(f"c.{who}_label").alias("label"))
+    both = claims.select("pair_id", F.col("c.id").alias("claim_id"), "submitted_at", F.inline(F.array(by("annotator"), by("reviewer"))))
+    return latest_votes(both, ["pair_id", "claim_id"], "rater", "label", "submitted_at", LABELS, NOT_RATERS)
+
+
+_VOTES_SQL = r"""
+WITH claims AS (SELECT id AS pair_id, annotator, reviewer, submitted_at, unnest(claims) AS c FROM gold_pairs),
+both_raters AS (
+  SELECT pair_id, c.id AS claim_id, submitted_at, annotator AS rater, c.annotator_label AS label FROM claims
+  UNION ALL SELECT pair_id, c.id, submitted_at, reviewer, c.reviewer_label FROM claims),
+tidy AS (
+  SELECT pair_id, claim_id, submitted_at, lower(regexp_replace(rater, '^\s+|\s+$', '', 'g')) AS rater, lower(regexp_replace(label, '^\s+|\s+$', '', 'g')) AS label
+  FROM both_raters),
+votes AS (
+  SELECT pair_id, claim_id, rater, label FROM tidy
+  WHERE label IN ('supports', 'contradicts', 'unrelated') AND rater <> '' AND rater <> 'adversarial'
+  QUALIFY row_number() OVER (PARTITION BY pair_id, claim_id, rater
+    ORDER BY submitted_at DESC NULLS LAST, list_position(['supports', 'contradicts', 'unrelated'], label)) = 1)
+"""
+
+
+@llm.query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, _ = consensus(_votes(spark, sf_dir), ["pair_id", "claim_id"], LABELS)
+    return items.filter("n_raters >= 3").select("pair_id", "claim_id", "consensus_label")
+
+
+@llm.query("p4_raters")
+def p4_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus(_votes(spark, sf_dir), ["pair_id", "claim_id"], LABELS)[1]
+
+
+@llm.query("p4_votes", _VOTES_SQL + "SELECT pair_id, claim_id, rater, label FROM votes")
+def p4_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _votes(spark, sf_dir)
+
+
+@llm.query(
+    "p4_agreement",
+    _VOTES_SQL
+    + """,
+per AS (SELECT pair_id, claim_id, label, count(*) AS n FROM votes GROUP BY ALL),
+units AS (SELECT pair_id, claim_id, sum(n) AS m, sum(n * n) AS nn FROM per GROUP BY ALL HAVING sum(n) > 1),
+marg AS (SELECT sum(n * n) AS sq FROM (SELECT label, sum(n) AS n FROM per SEMI JOIN units USING (pair_id, claim_id) GROUP BY label)),
+tot AS (SELECT count(*) AS n_items, sum(m) AS n_votes, sum((m * m - nn) / (m - 1)) AS off FROM units),
+both_sides AS (SELECT n_items, n_votes, 1 - off / n_votes AS observed, (sq - n_votes) / (n_votes * (n_votes - 1)) AS expected FROM tot, marg)
+SELECT n_items, n_votes::BIGINT AS n_votes, round(observed, 9) AS observed, round(expected, 9) AS expected,
+  round(CASE WHEN expected >= 1 THEN 1.0 ELSE 1 - (1 - observed) / (1 - expected) END, 9) AS alpha FROM both_sides""",
+)
+def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = agreement(_votes(spark, sf_dir), ["pair_id", "claim_id"])
+    return out.select("n_items", "n_votes", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "alpha")])
+
+
+LIMITS = {"coarse": (2500, 250), "fine": (450, 50)}  # characters of a chunk, and of the overlap between pieces
+
+
+def _pieces(chunks: DataFrame) -> DataFrame:
+    pick = lambda i: F.when(F.col("chunk_type") == "coarse", LIMITS["coarse"][i]).when(F.col("chunk_type") == "fine", LIMITS["fine"][i])
+    return split_oversized(chunks, pick(0), pick(1))
+
+
+@llm.query(
+    "p6_found",
+    r"""
+SELECT DISTINCT chunk_id FROM chunks
+WHERE length(regexp_replace(text, '\r\n?', chr(10), 'g')) > CASE chunk_type WHEN 'coarse' THEN 2500 WHEN 'fine' THEN 450 END""",
+)
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(table(spark, sf_dir, "chunks")).filter("n_pieces > 1").select("chunk_id").distinct()
+
+
+@llm.query("p6_pieces")
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each chunk as it was first ingested."""
+    chunks = table(spark, sf_dir, "chunks")
+    first = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.col("ingested_at").asc_nulls_last(), F.xxhash64("text")))
+    return _pieces(chunks.withColumn("_n", first).filter("_n = 1"))
