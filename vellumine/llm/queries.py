@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.consensus import agreement, consensus, latest_votes
 from vellumine.llm.neardup import document_pairs, near_duplicates
+from vellumine.llm.pii import find_personal, redact
 from vellumine.llm.splitting import split_oversized
 from vellumine.plans.registry import Registry
 from vellumine.sources.tables import table
@@ -109,3 +110,13 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks")
     first = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.col("ingested_at").asc_nulls_last(), F.xxhash64("text")))
     return _pieces(chunks.withColumn("_n", first).filter("_n = 1"))
+
+
+@llm.query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "documents")).select("doc_id", "kind", "char_start").distinct()
+
+
+@llm.query("p9_redacted")
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "redacted")
