@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumine.llm.consensus import agreement, consensus, latest_votes
 from vellumine.llm.neardup import document_pairs, near_duplicates
 from vellumine.llm.pii import find_personal, redact
+from vellumine.llm.scans import find_noise, scan_units
 from vellumine.llm.splitting import split_oversized
 from vellumine.plans.registry import Registry
 from vellumine.sources.tables import table
@@ -120,3 +123,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm.query("p9_redacted")
 def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "redacted")
+
+
+@llm.query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noise = find_noise(scan_units(table(spark, sf_dir, "parsed_elements"), table(spark, sf_dir, "chunks")))
+    kinds = [df.select("unit_id", F.lit(kind).alias("defect")) for kind, df in noise.items()]
+    return reduce(DataFrame.union, kinds).distinct()
