@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumine.llm.consensus import agreement, consensus, latest_votes
+from vellumine.llm.mixing import mix, shares_reached
 from vellumine.llm.neardup import document_pairs, near_duplicates
+from vellumine.llm.packing import pack
 from vellumine.llm.pii import find_personal, redact
 from vellumine.llm.scans import find_noise, scan_units
 from vellumine.llm.splitting import split_oversized
+from vellumine.llm.tokens import with_tokens
 from vellumine.plans.registry import Registry
+from vellumine.session import cut
 from vellumine.sources.tables import table
 
 llm = Registry()
@@ -130,3 +134,34 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = find_noise(scan_units(table(spark, sf_dir, "parsed_elements"), table(spark, sf_dir, "chunks")))
     kinds = [df.select("unit_id", F.lit(kind).alias("defect")) for kind, df in noise.items()]
     return reduce(DataFrame.union, kinds).distinct()
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(with_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_sized(spark, sf_dir), table(spark, sf_dir, "pack_limits"))
+
+
+@llm.query("p7_containers")
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+@llm.query("p7_fill")
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each limit: containers, tokens, and the share of the room that is used."""
+    sums = _packed(spark, sf_dir).groupBy("limit_id").agg(F.countDistinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    return sums.join(table(spark, sf_dir, "pack_limits"), "limit_id").withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
+
+
+@llm.query("p8_mixture")
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+@llm.query("p8_shares")
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return shares_reached(mix(_sized(spark, sf_dir), targets), targets)
