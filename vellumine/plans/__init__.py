@@ -3,5 +3,6 @@
 
 def core_registries() -> list:
     from vellumine.plans.records import records
+    from vellumine.plans.text import text
 
-    return [records]
+    return [records, text]
