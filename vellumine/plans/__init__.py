@@ -5,4 +5,6 @@ def core_registries() -> list:
     from vellumine.plans.records import records
     from vellumine.plans.text import text
 
-    return [records, text]
+    from vellumine.plans.chunking import chunking
+
+    return [records, text, chunking]
