@@ -2,9 +2,9 @@
 
 
 def core_registries() -> list:
+    from vellumine.plans.chunking import chunking
     from vellumine.plans.records import records
+    from vellumine.plans.retrieval import retrieval
     from vellumine.plans.text import text
 
-    from vellumine.plans.chunking import chunking
-
-    return [records, text, chunking]
+    return [records, text, chunking, retrieval]
