@@ -2,9 +2,10 @@
 
 
 def core_registries() -> list:
+    from vellumine.plans.analysis import analysis
     from vellumine.plans.chunking import chunking
     from vellumine.plans.records import records
     from vellumine.plans.retrieval import retrieval
     from vellumine.plans.text import text
 
-    return [records, text, chunking, retrieval]
+    return [records, text, chunking, retrieval, analysis]
