@@ -44,6 +44,7 @@ DELIMITERS = {
     "backslash": r"\\",
     "blank": r"\s+",
 }
+_EMPTY = "|;,/\\\"'[]<>& \t\r\n"
 QUOTES = ("none", "doubled", "escaped")
 _TRIED = [(name, re.compile(p), quote) for name, p in DELIMITERS.items() for quote in QUOTES]
 
@@ -103,7 +104,9 @@ def _split(text: str, delimiter: re.Pattern, quote: str) -> list[str] | None:
 
 def parses(text: str) -> dict[tuple[str, ...], tuple[str, float]]:
     """Each different parse of a text with the name and separator bits of the plainest dialect that gives it."""
-    out: dict[tuple[str, ...], tuple[str, float]] = {(text.strip(),): ("whole", 0.0)} if text.strip() else {}
+    if not text.strip(_EMPTY):  # delimiters, brackets and quotes around nothing
+        return {}
+    out: dict[tuple[str, ...], tuple[str, float]] = {(text.strip(),): ("whole", 0.0)}
 
     def add(items, name, bits):
         found = tuple(x for x in (x.strip() for x in items) if x)

@@ -495,14 +495,13 @@ def document_metadata(spark, sf_dir):
     return docs.join(works, "openalex_id").select("paper_id", "doc_id", "title", "publication_year")
 
 
-@analysis.query("progress_eta", "SELECT event_id, n, round((total - n) * (epoch(ts) - epoch(t0)) / n, 3) AS eta FROM (SELECT event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS total, min(ts) OVER (PARTITION BY user_id) AS t0 FROM events)")
+@analysis.query("progress_eta", "SELECT event_id, n, (total - n) * (epoch_us(ts) - epoch_us(t0)) // n AS eta_us FROM (SELECT event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS total, min(ts) OVER (PARTITION BY user_id) AS t0 FROM events)")
 def progress_eta(spark, sf_dir):
     """For each event of a user the time the user's other events will take at the pace so far."""
     w = Window.partitionBy("user_id")
     e = table(spark, sf_dir, "events").select("event_id", "ts", F.row_number().over(w.orderBy("ts", "event_id")).alias("n"), F.count("*").over(w).alias("total"), F.min("ts").over(w).alias("t0"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    elapsed = (micros("ts") - micros("t0")) / 1e6
-    return e.select("event_id", F.col("n").cast("long").alias("n"), F.round((F.col("total") - F.col("n")) * elapsed / F.col("n"), 3).alias("eta"))
+    return e.select("event_id", F.col("n").cast("long").alias("n"), F.expr("(total - n)").alias("left"), (micros("ts") - micros("t0")).alias("us")).select("event_id", "n", F.expr("left * us div n").alias("eta_us"))
 
 
 @analysis.query("formatted_metrics", "SELECT label, coalesce(printf('%.3f', CASE WHEN label % 2 = 0 THEN round(avg(embedding[1]), 5) END), '—') AS cell FROM embeddings GROUP BY 1")
