@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellumine.functions.binding import let
+
 ColumnOrName = Column | str
 
 
@@ -133,6 +135,10 @@ def rejoin_lines(x: ColumnOrName) -> Column:
     """Lines of a paragraph joined: hyphens at line ends removed, a blank between lines unless both
     sides are CJK, empty lines kept as breaks."""
     lines = F.transform(F.split(F.replace(strip(x), F.lit("-\n"), F.lit("")), "\n"), lambda s: strip(s))
+    return let(lines, _join_lines)
+
+
+def _join_lines(lines: Column) -> Column:
     n = F.size(lines)
     joined = F.transform(
         lines,
@@ -151,10 +157,13 @@ def heading_line(x: ColumnOrName) -> Column:
 
 def element_markdown(label: ColumnOrName, text: ColumnOrName, index: ColumnOrName) -> Column:
     """One layout element as Markdown; null for an empty one."""
-    label, t = _c(label), strip(text)
+    return let(strip(text), lambda t: _element(_c(label), t, _c(index)))
+
+
+def _element(label: Column, t: Column, index: Column) -> Column:
     plain = rejoin_lines(macros(t))
     heading = F.concat(F.when(label == "sec_0", "#").when(label == "sec_1", "##").otherwise("###"), F.lit(" "), rejoin_lines(macros(heading_line(t))), F.lit("\n\n"))
-    number = F.concat(F.lit("![Figure "), _c(index).cast("string"), F.lit("]("))
+    number = F.concat(F.lit("![Figure "), index.cast("string"), F.lit("]("))
     uri = F.when(t.startswith("data:image/") | (t.contains(";") & t.contains(",")), t).otherwise(F.concat(F.lit("data:image/png;base64,"), t))
     figure = F.when(t.startswith("!["), F.concat(t, F.lit("\n\n"))).otherwise(F.concat(number, uri, F.lit(")\n\n")))
     formula = F.concat(F.lit("$$"), macros(F.rtrim(F.btrim(t, F.lit("$")), F.lit("\\ "))), F.lit("$$\n\n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import citation_count, token_estimate
+from vellumine.operators.retrieval import l2_normalise
 
 
 def chunk_statistics(chunks: DataFrame, by: list[str], text: str = "text") -> DataFrame:
@@ -47,9 +48,7 @@ def coherence(vectors: DataFrame, by: str, vector: str) -> DataFrame:
     The sum over all ordered pairs is the squared length of the sum of the unit vectors, so no pairs
     are formed: per group and dimension one sum, whatever the group's size.
     """
-    v = F.col(vector).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = vectors.select(by, F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm)).alias("u"))
+    unit = vectors.select(by, l2_normalise(F.col(vector).cast("array<double>")).alias("u"))
     per_dim = unit.select(by, F.posexplode("u").alias("d", "x")).groupBy(by, "d").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("own"), F.count("*").alias("n"))
     total = per_dim.groupBy(by).agg(F.sum(F.col("s") * F.col("s")).alias("all"), F.sum("own").alias("own"), F.max("n").alias("n"))
     return total.select(by, F.when(F.col("n") < 2, 1.0).otherwise((F.col("all") - F.col("own")) / (F.col("n") * (F.col("n") - 1))).alias("coherence"))

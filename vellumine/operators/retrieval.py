@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumine.functions.binding import let
+
 BLOCK = 2048
 METRICS = ("ip", "l2")
 
@@ -103,7 +105,7 @@ def maxsim(query_tokens: DataFrame, item_tokens: DataFrame, k: int) -> DataFrame
 def l2_normalise(v: Column) -> Column:
     """A vector of length 1; a zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    return let(F.when(norm == 0, 1.0).otherwise(norm), lambda n: F.transform(v, lambda x: x / n))
 
 
 def first_per_group(hits: DataFrame, group: str, by: str = "query_id") -> DataFrame:
