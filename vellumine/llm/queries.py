@@ -12,7 +12,7 @@ from vellumine.llm.mixing import mix, shares_reached
 from vellumine.llm.neardup import document_pairs, near_duplicates
 from vellumine.llm.packing import pack
 from vellumine.llm.pii import find_personal, redact
-from vellumine.llm.scans import find_noise, scan_units
+from vellumine.llm.scans import find_noise, paper_paragraphs, scan_units
 from vellumine.llm.splitting import split_oversized
 from vellumine.llm.tokens import with_tokens
 from vellumine.plans.registry import Registry
@@ -144,6 +144,11 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_sized(spark, sf_dir), table(spark, sf_dir, "pack_limits"))
 
 
+@llm.query("p2_paragraphs")
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paper_paragraphs(table(spark, sf_dir, "parsed_elements"), table(spark, sf_dir, "chunks"))
+
+
 @llm.query("p7_containers")
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir)
