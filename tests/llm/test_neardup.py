@@ -76,3 +76,22 @@ def test_long_text_signature_is_that_of_its_set():
     s = Shingler(3)
     t = " ".join(f"w{i % 7001}" for i in range(30_000))
     assert (signature(s(t)) == signature(s(t + " " + t[:0]))).all()
+
+
+def test_groups_are_the_connected_components(spark):
+    rows = corpus(7, 60, 3)
+    df = spark.createDataFrame([(*r, 1) for r in rows + [("copy", "g9", rows[0][2])]], "chunk_id string, paper_id string, text string, n int")
+    pairs, members = near_duplicates(df, "chunk_id", "text", shingle=3, threshold=0.7)
+    got = {r.id: r for r in neardup.groups(pairs, members).collect()}
+    parent = {i: i for i in got}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in brute([(i, i, t) for i, _, t in rows] + [("copy", "copy", rows[0][2])], 3, 0.7):
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    assert {i: r.class_id for i, r in got.items()} == {i: find(i) for i in got}
+    assert got["copy"].n_copies >= 2 and neardup.groups(*near_duplicates(df.limit(0), "chunk_id", "text")).count() == 0

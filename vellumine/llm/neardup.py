@@ -249,3 +249,32 @@ def document_pairs(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_col
     a, b = (own.select(F.col("set_id").alias(f"set_id_{x}"), F.col("id").alias(f"id_{x}"), F.col("group").alias(f"group_{x}")) for x in "ab")
     out = links.join(a, "set_id_a").join(b, "set_id_b").filter("group_a <> group_b and id_a <> id_b")
     return out.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+
+
+def groups(pairs: DataFrame, members: DataFrame, max_rounds: int = 30) -> DataFrame:
+    """``(id, class_id, n_copies, n_links)``: one row per document that has shingles.
+
+    ``class_id`` names the connected group of the document's class: the least document id in it.
+    ``n_copies`` counts the documents with the same shingles, ``n_links`` the other classes its class
+    is linked to. Groups form by the alternation of large-star and small-star steps, which halves
+    the depth of every group and never gathers one; lineage is cut in every round.
+    """
+    ids = members.groupBy("set_id").agg(F.min("id").alias("v"), F.count("*").alias("n_copies"))
+    a, b = (ids.select(F.col("set_id").alias(f"set_id_{x}"), F.col("v").alias(x)) for x in "ab")
+    links = pairs.select("set_id_a", "set_id_b").join(a, "set_id_a").join(b, "set_id_b").select("a", "b")
+    degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    for _ in range(max_rounds):
+        both = edges.union(edges.select("v", "u")).toDF("u", "v")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).filter("u <> v").distinct()
+        small = cut(small)
+        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
+            break
+        edges = small
+    root = edges.groupBy("u").agg(F.min("v").alias("root"))
+    classes_ = ids.join(root, ids["v"] == root["u"], "left").join(degree, "v", "left")
+    classes_ = classes_.select("set_id", F.coalesce("root", "v").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(classes_, "set_id").select("id", "class_id", "n_copies", "n_links")

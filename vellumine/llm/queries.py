@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.consensus import agreement, consensus, latest_votes
 from vellumine.llm.mixing import mix, shares_reached
-from vellumine.llm.neardup import document_pairs, near_duplicates
+from vellumine.llm.neardup import document_pairs, groups, near_duplicates
 from vellumine.llm.packing import pack
 from vellumine.llm.pii import find_personal, redact
 from vellumine.llm.scans import find_noise, paper_paragraphs, scan_units
@@ -33,6 +33,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_pairs(pairs, members, coarse, "chunk_id", "paper_id").toDF("chunk_id_a", "chunk_id_b")
 
 
+@llm.query("p3_groups")
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per coarse chunk: its group, its copies and its links."""
+    return groups(*near_duplicates(_coarse(spark, sf_dir), "chunk_id", "text", shingle=3, threshold=0.7)).withColumnRenamed("id", "chunk_id")
+
+
+@llm.query("p3_documents")
+def p3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over documents, on five words and at 0.8."""
+    return groups(*near_duplicates(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 LABELS = ["supports", "contradicts", "unrelated"]
 NOT_RATERS = ("adversarial",)
 
