@@ -30,6 +30,9 @@ def found(text):
     ("Correspondence: van der Orr, Ben, b@x.test", [("name", "van der Orr, Ben"), ("email", "b@x.test")]),
     ("El expediente de Pike, Cyr incluye Passport ZZ563676.", [("name", "Pike, Cyr"), ("id_number", "ZZ563676")]),
     ("Moor (2011) and Nash et al. (2001) disagree; the Moor Foundation and Orr & Sons do not.", []),
+    ("signed\nDr. Moor\nCalle del Skaold, 9, 6º B\n020 7946 0270 Ada van der Orr joined us", [("name", "Moor"), ("address", "Calle del Skaold, 9"), ("phone", "020 7946 0270"), ("name", "Ada van der Orr")]),
+    ("NI number QQ 13 86 76 C. Ben H. Nash joined. Version 3.3. Call 1-808-555-0179", [("id_number", "QQ 13 86 76 C"), ("name", "Ben H. Nash"), ("phone", "1-808-555-0179")]),
+    ("Contact: Prof. Tate, DORA.TATE@UNI.TEST", [("name", "Tate"), ("email", "DORA.TATE@UNI.TEST")]),
     ("# Policy Implications\n\nThe Valaland reform", []),
 ])
 def test_spans(text, want):

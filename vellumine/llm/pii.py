@@ -41,7 +41,7 @@ ID_WORDS = re.compile(
     r"carte d'identité|sécurité sociale|num[ée]ro (?:fiscal|de sécurité sociale|d'identité)|seguridad social|documento de identidad|carné|insurance (?:number|no))(?:\s*(?:no\.?|nr\.?|number|numéro|número|nummer|n[º°]))?[\s:#.]{0,3}$"
 )
 PHONE_WORDS = re.compile(r"(?i)\b(?:tel|tél|phone|téléphone|teléfono|telefon|telephone|mobile|mobil|móvil|portable|call|llame al?|ring|text|fax|appel\w*|anruf\w*|unter|contact|fon|dial|reach\w*|or|au)\b[\s.:|]{0,4}\+?$")
-NOT_PERSONAL = re.compile(r"(?i)\b(?:lots?|lot numbers?|grant|award|application|serial|patent|participant|codes?|doi|ISSN|ISBN|budgets? of|report no\.|invoice|order|version|sample|batch|version|items?|article)[\w ./:-]{0,24}$")
+NOT_PERSONAL = re.compile(r"(?i)\b(?:lots?|lot numbers?|grant|award|application|serial|patent|participant|codes?|doi|ISSN|ISBN|budgets? of|report no\.|invoice|order|version|sample|batch|version|items?|article)(?:[\w /:-]|\.(?=\d)){0,24}$")
 
 # ---- addresses ------------------------------------------------------------------------------
 _C = r"[A-ZÀ-Þ][^\W\d_]+"
@@ -61,13 +61,13 @@ ROUTE = re.compile(r"(?i)\b(?:route|table|figure|section|line|panel|chapter)\s$"
 
 # ---- names ----------------------------------------------------------------------------------
 # Particles, courtesy titles, and words that make a capitalised run no person.
-_P = r"(?:(?:[Dd]e la|[Vv]an der|[Vv]an den|[Vv]on der|[Vv]on|[Vv]an|[Dd]i|[Aa]f|[Tt]er|[Dd]el|[Dd]e|[Dd]a|[Dd]os|VAN DER|DE LA|VON|AF|TER|DI)\s)"
+_P = r"(?:(?:[Dd]e la|[Vv]an der|[Vv]an den|[Vv]on der|[Vv]on|[Vv]an|[Dd]i|[Aa]f|[Tt]er|[Dd]el|[Dd]e|[Dd]a|[Dd]os|VAN DER|DE LA|VON|AF|TER|DI) )"
 _S = rf"{_P}?{_C}(?:-{_C})?"
 _TITLE = r"(?:Dr|Prof|Professor|Professorin|Professeur|Mr|Mrs|Ms|Miss|Mme|Mlle|Herrn?|Frau|Sra?|Srta|Señora?|Don|Doña|Dra|Profa|Sir|Dame)"
 _INIT = r"[A-ZÀ-Þ]\."
-FULL = rf"(?:{_C}(?:-{_C})?|{_INIT})(?:\s(?:{_INIT}|[\"“][^\W\d_]+[\"”]))*\s{_S}"
-INVERTED = rf"{_S},\s(?:{_C}(?:\s{_INIT})*|{_INIT}(?:\s{_INIT})*)"
-NAME = re.compile(rf"(?<![\w@.\-'’/])(?:(?P<title>(?:{_TITLE}\.?\s)+)(?P<titled>{FULL}|{INVERTED}|{_S})|(?P<inverted>{INVERTED})|(?P<full>{FULL}))(?![\w@]|-\w)")
+FULL = rf"(?:{_C}(?:-{_C})?|{_INIT})(?: (?:{_INIT}|[\"“][^\W\d_]+[\"”]))* {_S}"
+INVERTED = rf"{_S}, (?:{_C}(?: {_INIT})*|{_INIT}(?: {_INIT})*)"
+NAME = re.compile(rf"(?<![\w@.\-'’/])(?!(?<=\d ){_INIT})(?:(?P<title>(?:{_TITLE}\.?\s)+)(?P<titled>{FULL}|{INVERTED}|{_S})|(?P<inverted>{INVERTED})|(?P<full>{FULL}))(?![\w@+]|[-.]\w)")
 #: What every name begins with, by a cheap scan; a particle may stand before it.
 _PAIR = re.compile(r"[A-ZÀ-Þ](?:\.|[^\W\d_]+(?:-[A-ZÀ-Þ][^\W\d_]+)?[.,]?)\s(?:[\"“]?[A-ZÀ-Þ]|(?:de|van|von|di|af|ter|del|da|dos)\s)")
 _LEAD = re.compile(rf"(?<!\w){_P}$")
