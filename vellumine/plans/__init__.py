@@ -7,6 +7,7 @@ def core_registries() -> list:
     from vellumine.plans.files import files
     from vellumine.plans.records import records
     from vellumine.plans.retrieval import retrieval
+    from vellumine.plans.service import service
     from vellumine.plans.text import text
 
-    return [records, text, chunking, retrieval, analysis, files]
+    return [records, text, chunking, retrieval, analysis, files, service]
