@@ -131,9 +131,9 @@ def test_overlap_of_tiny_chunks_is_the_whole_chunk(spark):
     df = spark.createDataFrame([(1, "# A\nx\n# B\ny")], "doc_id int, text string")
     texts = [r.text for r in K.coarse_chunks(df).orderBy("chunk_index").collect()]
     assert texts == ["# A\nx", "# A\nx\n\n# B\ny"]
-    assert K.fine_chunks(K.coarse_chunks(df)).count() == 2
+    assert K.fine_chunks(df).count() == 2
 
 
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id int, text string")
-    assert K.fine_chunks(K.coarse_chunks(empty)).count() == 0
+    assert K.fine_chunks(empty).count() == 0

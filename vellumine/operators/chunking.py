@@ -1,15 +1,15 @@
 """Markdown documents to chunks: document rows in, chunk rows out, as column expressions.
 
-A document is one row, so folds over its paragraphs are higher-order expressions on that row and no
-shuffle is needed; only numbering and overlap across sections look at neighbouring rows, in windows
-over one document.
+A document is one row, so sections, paragraphs, numbering and overlap are higher-order expressions
+on that row: no text is ever shuffled, and every plan here is a scan, a projection and a generate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.functions.binding import let
 from vellumine.functions.text import strip
 
 HEADING = r"^(#{1,6})\s+(.+)$"
@@ -20,14 +20,40 @@ def clean_markdown(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\n---+\n", "\n\n"), r"\n{3,}", "\n\n")
 
 
+_SECTION = "struct<hierarchy:array<string>,text:string,char_start:int,char_end:int,line_no:int,level:int>"
+_STATE = f"struct<off:int,line:int,stack:array<struct<level:int,heading:string>>,done:array<{_SECTION}>>"
+
+
+def section_array(text: Column) -> Column:
+    """The sections of a text; empty where it has no heading.
+
+    The text is cut before every heading line; a fold carries the offset and the stack of headings."""
+    pieces = F.split(text, r"\n(?=#{1,6}[^\S\n][^\n])")
+
+    def step(s: Column, p: Column) -> Column:
+        first = F.substring_index(p, "\n", 1)
+        level = F.length(F.regexp_extract(first, HEADING, 1))
+        own = F.struct(level.alias("level"), F.regexp_extract(first, HEADING, 2).alias("heading"))
+        stack = F.when(first.rlike(HEADING), F.concat(F.filter(s["stack"], lambda h: h["level"] < level), F.array(own))).otherwise(s["stack"])
+        section = F.struct(
+            F.transform(stack, lambda h: h["heading"]).alias("hierarchy"), p.alias("text"), s["off"].alias("char_start"), (s["off"] + F.length(p)).alias("char_end"), s["line"].alias("line_no"), level.alias("level")
+        )
+        done = F.when(first.rlike(HEADING), F.concat(s["done"], F.array(section))).otherwise(s["done"])
+        return F.struct((s["off"] + F.length(p) + 1).alias("off"), (s["line"] + F.size(F.split(p, "\n"))).alias("line"), stack.alias("stack"), done.alias("done"))
+
+    start = F.struct(F.lit(0).alias("off"), F.lit(0).alias("line"), F.array().cast("array<struct<level:int,heading:string>>").alias("stack"), F.array().cast(f"array<{_SECTION}>").alias("done")).cast(_STATE)
+    return F.aggregate(pieces, start, step, lambda s: s["done"])
+
+
 def headings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, line_no, offset, level, heading)`` of every heading line."""
-    lines = F.split(F.col(text_col), "\n")
-    rows = docs.select(F.col(id_col), F.posexplode(lines).alias("line_no", "line"))
-    before = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("int"))
-    rows = rows.filter(F.col("line").rlike(HEADING))
-    return rows.select(id_col, "line_no", "offset", F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), F.regexp_extract("line", HEADING, 2).alias("heading"))
+    rows = docs.select(F.col(id_col), F.explode(section_array(F.col(text_col))).alias("s"))
+    return rows.select(id_col, "s.line_no", F.col("s.char_start").alias("offset"), "s.level", F.element_at("s.hierarchy", -1).alias("heading"))
+
+
+def _sections_or_whole(text: Column) -> Column:
+    whole = F.struct(F.array(F.lit("Document")).alias("hierarchy"), text.alias("text"), F.lit(0).alias("char_start"), F.length(text).alias("char_end"), F.lit(0).alias("line_no"), F.lit(0).alias("level")).cast(_SECTION)
+    return let(section_array(text), lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(whole)))
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,28 +62,8 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``hierarchy`` is the stack of headings above it and its own. Text before the first heading is in
     no section; a document without headings is one section named ``Document``. Null texts give none.
     """
-    heads = headings(docs, id_col, text_col)
-    in_doc = Window.partitionBy(id_col).orderBy("line_no")
-    so_far = F.collect_list(F.struct("level", "heading")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0))
-    stack = F.aggregate(
-        so_far,
-        F.array().cast("array<struct<level:int,heading:string>>"),
-        lambda acc, h: F.concat(F.filter(acc, lambda x: x["level"] < h["level"]), F.array(h)),
-        lambda acc: F.transform(acc, lambda x: x["heading"]),
-    )
-    heads = heads.select(id_col, (F.row_number().over(in_doc) - 1).alias("section"), stack.alias("hierarchy"), F.col("offset").alias("char_start"), F.lead("offset").over(in_doc).alias("_next"))
-    joined = docs.select(id_col, F.col(text_col).alias("_text")).filter("_text is not null").join(heads, id_col, "left")
-    whole = F.col("section").isNull()
-    end = F.when(whole, F.length("_text")).otherwise(F.coalesce(F.col("_next") - 1, F.length("_text")))
-    start = F.coalesce(F.col("char_start"), F.lit(0))
-    return joined.select(
-        id_col,
-        F.coalesce("section", F.lit(0)).alias("section"),
-        F.coalesce("hierarchy", F.array(F.lit("Document"))).alias("hierarchy"),
-        F.col("_text").substr(start + 1, end - start).alias("text"),
-        start.alias("char_start"),
-        end.alias("char_end"),
-    )
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.posexplode(_sections_or_whole(F.col(text_col))).alias("section", "s"))
+    return rows.select(id_col, "section", "s.hierarchy", "s.text", "s.char_start", "s.char_end")
 
 
 def paragraphs(text: Column) -> Column:
@@ -90,30 +96,47 @@ def with_overlap(text: Column, previous: Column, pct: float) -> Column:
     return F.when(previous.isNull(), text).otherwise(F.concat(tail, F.lit("\n\n"), text))
 
 
-def coarse_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2500, pct: float = 0.1) -> DataFrame:
-    """``(id, chunk_index, total_chunks, text, section_hierarchy, char_start, char_end, overlap_with_previous)``."""
-    cleaned = docs.select(id_col, clean_markdown(F.col(text_col)).alias("_t"))
-    rows = sections(cleaned, id_col, "_t")
-    rows = rows.select(id_col, "section", "hierarchy", "char_start", F.posexplode(split_at_paragraphs(F.col("text"), limit)).alias("pos", "raw"))
-    w = Window.partitionBy(id_col).orderBy("section", "pos")
-    rows = rows.withColumn("chunk_index", F.row_number().over(w) - 1).withColumn("text", with_overlap(F.col("raw"), F.lag("raw").over(w), pct))
-    total = F.count("*").over(Window.partitionBy(id_col))
+def _raw_chunks(text: Column, limit: int) -> Column:
+    """The packed paragraphs of all sections, in order, with their section's hierarchy and start."""
+    cut = lambda s: F.transform(split_at_paragraphs(s["text"], limit), lambda r: F.struct(r.alias("raw"), s["hierarchy"].alias("hierarchy"), s["char_start"].alias("char_start")))
+    return F.flatten(F.transform(_sections_or_whole(clean_markdown(text)), cut))
+
+
+def coarse_array(text: Column, limit: int = 2500, pct: float = 0.1) -> Column:
+    """The coarse chunks of a text as ``array<struct<text, hierarchy, char_start>>``; the overlap crosses sections."""
+    lap = lambda raws: F.transform(
+        raws, lambda c, i: F.struct(with_overlap(c["raw"], F.when(i > 0, F.get(raws, i - 1)["raw"]), pct).alias("text"), c["hierarchy"].alias("hierarchy"), c["char_start"].alias("char_start"))
+    )
+    return let(_raw_chunks(text, limit), lap)
+
+
+def _chunk_rows(docs: DataFrame, id_col: str, chunks: Column, overlaps: Column) -> DataFrame:
+    rows = docs.filter(F.col("_t").isNotNull()).select(id_col, chunks.alias("_all")).select(id_col, F.size("_all").alias("total_chunks"), F.posexplode("_all").alias("chunk_index", "c"))
     return rows.select(
-        id_col, "chunk_index", total.cast("int").alias("total_chunks"), "text", F.col("hierarchy").alias("section_hierarchy"), "char_start",
-        (F.col("char_start") + F.length("text")).alias("char_end"), (F.col("chunk_index") > 0).alias("overlap_with_previous"),
+        id_col, "chunk_index", "total_chunks", "c.text", F.col("c.hierarchy").alias("section_hierarchy"), "c.char_start",
+        (F.col("c.char_start") + F.length("c.text")).alias("char_end"), overlaps.alias("overlap_with_previous"),
     )
 
 
-def fine_chunks(coarse: DataFrame, id_col: str = "doc_id", limit: int = 450, pct: float = 0.2) -> DataFrame:
+def coarse_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2500, pct: float = 0.1) -> DataFrame:
+    """``(id, chunk_index, total_chunks, text, section_hierarchy, char_start, char_end, overlap_with_previous)``."""
+    docs = docs.select(id_col, F.col(text_col).alias("_t"))
+    return _chunk_rows(docs, id_col, coarse_array(F.col("_t"), limit, pct), F.col("chunk_index") > 0)
+
+
+def fine_chunks(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 450, pct: float = 0.2, coarse_limit: int = 2500, coarse_pct: float = 0.1
+) -> DataFrame:
     """Coarse chunks cut again; the overlap starts anew in each coarse chunk, the index runs through the document."""
-    rows = coarse.select(id_col, F.col("chunk_index").alias("coarse"), "section_hierarchy", "char_start", F.posexplode(pack(paragraphs(F.col("text")), limit)).alias("pos", "raw"))
-    inner = Window.partitionBy(id_col, "coarse").orderBy("pos")
-    rows = rows.withColumn("text", with_overlap(F.col("raw"), F.lag("raw").over(inner), pct))
-    w = Window.partitionBy(id_col)
-    return rows.select(
-        id_col, (F.row_number().over(w.orderBy("coarse", "pos")) - 1).alias("chunk_index"), F.count("*").over(w).cast("int").alias("total_chunks"), "text", "section_hierarchy", "char_start",
-        (F.col("char_start") + F.length("text")).alias("char_end"), (F.col("pos") > 0).alias("overlap_with_previous"),
-    )
+
+    def cut(c: Column) -> Column:
+        lap = lambda raws: F.transform(
+            raws, lambda r, i: F.struct(with_overlap(r, F.when(i > 0, F.get(raws, i - 1)), pct).alias("text"), c["hierarchy"].alias("hierarchy"), c["char_start"].alias("char_start"), (i > 0).alias("lap"))
+        )
+        return let(pack(paragraphs(c["text"]), limit), lap)
+
+    docs = docs.select(id_col, F.col(text_col).alias("_t"))
+    return _chunk_rows(docs, id_col, F.flatten(F.transform(coarse_array(F.col("_t"), coarse_limit, coarse_pct), cut)), F.col("c.lap"))
 
 
 def fixed_windows(text: Column, size: int = 1024, overlap: int = 100, least: int = 100) -> Column:

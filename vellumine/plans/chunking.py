@@ -90,7 +90,7 @@ fine AS (SELECT f.doc_id, f.fi::INTEGER AS chunk_index, f.total::INTEGER AS tota
 SELECT {_OUT} FROM fine""",
 )
 def chunk_fine(spark, sf_dir):
-    return K.fine_chunks(K.coarse_chunks(table(spark, sf_dir, "documents")))
+    return K.fine_chunks(table(spark, sf_dir, "documents"))
 
 
 _ROWS = r"doc_id, chunk_index, text, length(text)::INTEGER AS length, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::INTEGER AS word_count"
