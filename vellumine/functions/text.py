@@ -36,9 +36,13 @@ def truncate(x: ColumnOrName, limit: int = 60) -> Column:
     return F.when(F.length(_c(x)) > limit, F.concat(F.left(_c(x), F.lit(limit - 3)), F.lit("..."))).otherwise(_c(x))
 
 
+# The three forms of citation markers.
+CITATION_MARKERS = (r"\$\^\{\d+\}\$", r"\[\d+\]", r"\(\d+\)")
+
+
 def citation_count(x: ColumnOrName) -> Column:
     """Markers of the forms ``$^{53}$``, ``[1]`` and ``(1)``."""
-    return sum((F.regexp_count(_c(x), F.lit(p)) for p in (r"\$\^\{\d+\}\$", r"\[\d+\]", r"\(\d+\)")), F.lit(0))
+    return sum((F.regexp_count(_c(x), F.lit(p)) for p in CITATION_MARKERS), F.lit(0))
 
 
 def token_estimate(x: ColumnOrName) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions.text import strip
 
+# The two parts of an answer, up to the heading that follows.
 _SUMMARY = r"(?is)(#{0,2}\s*Executive Summary.*?)(?=#{1,2}\s*Detailed Analysis|Detailed Analysis|\z)"
 _DETAILS = r"(?is)(#{0,2}\s*Detailed Analysis.*?)(?=#{1,2}\s*(?:Key References|References)|\z)"
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vellumine.functions.binding import let
 from vellumine.functions.text import strip
 
+# Fixed value: what a heading line looks like.
 HEADING = r"^(#{1,6})\s+(.+)$"
 
 
@@ -190,6 +191,7 @@ def semantic_chunks(text: Column, size: int = 1024, overlap: int = 100, least: i
     return F.concat(fold["done"], last)
 
 
+# Fixed value: the order in which separators are tried.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The vocabulary and the id formats of gold pairs.
 DIFFICULTIES = ("single-hop", "multi-hop", "unanswerable")
 CATEGORIES = ("policy_impact", "methodology", "comparison", "factual", "multi_hop")
 STATUSES = ("pending", "approved", "rejected")

@@ -73,6 +73,7 @@ def normalise_score(x: Column, lo: Column, hi: Column, invert: bool = False) ->
 
 def strategy_score(coherence: Column, boundary: Column, coverage: Column, std: Column, mean: Column) -> Column:
     """Points for coherence (15), clean boundaries (20), citations (20), even sizes (25) and a mean size in the useful range (20)."""
+    # fixed values: the weights and the bounds of the ranges
     spread = F.when(std > 2000, 0.0).when(std > 1000, (2000 - std) / 1000 * 25).otherwise(25 - std / 1000 * 5)
     size = F.when(mean.between(1800, 2500), 20).when(mean.between(1500, 3000), 15).when(mean.between(1000, 4000), 10).otherwise(0)
     return F.coalesce(coherence * 15, F.lit(0.0)) + F.coalesce((1 - boundary) * 20, F.lit(0.0)) + F.coalesce(coverage, F.lit(0.0)) * 20 + spread + size

@@ -62,6 +62,7 @@ def topk(
     return hits.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
 
 
+# Fixed value: how many candidates are ranked again.
 CANDIDATES = 75
 
 
@@ -119,6 +120,7 @@ def prompt_block(hits: DataFrame, by: str = "query_id") -> DataFrame:
 
     ``hits(query_id, rank, paper_title, section_hierarchy, score, text)``.
     """
+    # fixed values: the layout of a source in a prompt
     one = F.concat(
         F.lit("\n### Source "), (F.col("rank") + 1).cast("string"), F.lit(": "), F.substring_index("paper_title", "\n", 1), F.lit("\n**Section**: "), F.array_join("section_hierarchy", " > "),
         F.lit("\n**Relevance Score**: "), F.format_string("%.2f%%", F.col("score") * 100), F.lit("\n\n"), F.col("text"), F.lit("\n"),
