@@ -54,6 +54,13 @@ def test_windows_keep_the_proportions(spark):
     assert len(out) == 4000 and abs(sum(first) / len(first) - 0.75) < 0.02
 
 
+def test_empty_items_fill_no_window_beyond_its_bound(spark):
+    rows = [(i, "a", 0) for i in range(5000)] + [(9000, "a", 7)]
+    limits = spark.createDataFrame([(1, 10)], "limit_id int, capacity_tokens int")
+    out = pack(docs(spark, rows), limits, containers=16).collect()
+    assert len(out) == 5001 and max(sum(r.n_tokens for r in out if r.container == c) for c in {r.container for r in out}) <= 10
+
+
 def test_mixture(spark):
     rng = random.Random(6)
     rows = [(i, rng.choices(["big", "mid", "small"], (20, 4, 1))[0], rng.randint(5, 80)) for i in range(4000)] + [(9000, None, 10), (9001, "other", 10), (9002, "mid", 0), (9003, "mid", None)]

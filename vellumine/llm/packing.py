@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm.prefix import running_sum, shuffled_order
+from vellumine.session import cut
 
 _PACKED = "limit_id int, container string, id {kind}, part int, n_tokens int, fill int, window long"
 
@@ -60,14 +61,15 @@ def pack(items: DataFrame, limits: DataFrame, shares: DataFrame | None = None, i
     """
     kind = items.schema[id_col].dataType.simpleString()
     items = items.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("long").alias("size"))
-    items = items.withColumn("order", shuffled_order("id", "size"))
-    sums = items.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    # an empty item weighs one token in the schedule, so that a window is bounded in items as well
+    items = items.withColumn("order", shuffled_order("id", "size")).withColumn("weight", F.greatest("size", F.lit(1).cast("long")))
+    sums = items.groupBy("source").agg(F.count("*").alias("n"), F.sum("weight").alias("tokens"))
     total = sums.agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).first()
     wanted = sums.withColumn("share", F.col("tokens") / F.lit(float(total.tokens or 1)))
     if shares is not None:
         given = shares.select(F.col("source").alias("s"), F.col("share").alias("given")).groupBy("s").agg(F.max("given").alias("given"))
         wanted = wanted.join(given, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("share", F.coalesce(F.when(F.col("given") > 0, F.col("given")), F.col("share")))
-    rows = running_sum(items, "source", "order", "size", "start", total.n or 0)
+    rows = running_sum(items, "source", "order", "weight", "start", total.n or 0)
     rows = rows.alias("r").join(wanted.select("source", "share").alias("w"), F.col("r.source").eqNullSafe(F.col("w.source"))).select("r.id", "r.size", (F.col("r.start") / F.greatest(F.col("w.share"), F.lit(1e-9))).alias("time"))
     limits = limits.filter("capacity_tokens >= 1").select(F.col("limit_id").cast("int").alias("limit_id"), F.col("capacity_tokens").cast("long").alias("capacity"))
     rows = rows.join(F.broadcast(limits))  # each item goes into the containers of every limit; a limits table has a few rows
@@ -78,7 +80,7 @@ def pack(items: DataFrame, limits: DataFrame, shares: DataFrame | None = None, i
     rows = rows.withColumn("n_tokens", F.least(F.col("capacity"), F.col("size") - F.col("part") * F.col("capacity")).cast("int"))
     full = rows.filter("n_tokens = capacity and capacity > 0").select("limit_id", F.concat_ws("-", F.lit("f"), F.xxhash64("id", "time").cast("string"), F.col("part").cast("string")).alias("container"), "id", "part", "n_tokens")
     rest = rows.filter("n_tokens < capacity").select("limit_id", "capacity", "id", "part", "n_tokens", "window")
-    first = _pack_groups(rest, ["limit_id", "window"], "w", kind).join(F.broadcast(limits), "limit_id")
+    first = cut(_pack_groups(rest, ["limit_id", "window"], "w", kind).join(F.broadcast(limits), "limit_id"))
     good = F.col("fill") >= 0.97 * F.col("capacity")
     open_ = first.filter(~good).withColumn("group", F.floor(F.col("window") / 64).cast("long"))
     again = _pack_groups(open_.select("limit_id", "capacity", "id", "part", "n_tokens", "window", "group"), ["limit_id", "group"], "g", kind)
