@@ -32,15 +32,17 @@ def section_array(text: Column) -> Column:
     pieces = F.split(text, r"\n(?=#{1,6}[^\S\n][^\n])")
 
     def step(s: Column, p: Column) -> Column:
-        first = F.substring_index(p, "\n", 1)
-        level = F.length(F.regexp_extract(first, HEADING, 1))
+        return let(F.substring_index(p, "\n", 1), lambda first: let(F.length(F.regexp_extract(first, HEADING, 1)), lambda level: grown(s, p, first, level)))
+
+    def grown(s: Column, p: Column, first: Column, level: Column) -> Column:
         own = F.struct(level.alias("level"), F.regexp_extract(first, HEADING, 2).alias("heading"))
-        stack = F.when(first.rlike(HEADING), F.concat(F.filter(s["stack"], lambda h: h["level"] < level), F.array(own))).otherwise(s["stack"])
-        section = F.struct(
+        off, line = s["off"] + F.length(p) + 1, s["line"] + F.size(F.split(p, "\n"))
+        make = lambda stack, done: F.struct(off.alias("off"), line.alias("line"), stack.alias("stack"), done.alias("done"))
+        section = lambda stack: F.struct(
             F.transform(stack, lambda h: h["heading"]).alias("hierarchy"), p.alias("text"), s["off"].alias("char_start"), (s["off"] + F.length(p)).alias("char_end"), s["line"].alias("line_no"), level.alias("level")
         )
-        done = F.when(first.rlike(HEADING), F.concat(s["done"], F.array(section))).otherwise(s["done"])
-        return F.struct((s["off"] + F.length(p) + 1).alias("off"), (s["line"] + F.size(F.split(p, "\n"))).alias("line"), stack.alias("stack"), done.alias("done"))
+        pushed = F.concat(F.filter(s["stack"], lambda h: h["level"] < level), F.array(own))
+        return F.when(level > 0, let(pushed, lambda stack: make(stack, F.concat(s["done"], F.array(section(stack)))))).otherwise(make(s["stack"], s["done"]))
 
     start = F.struct(F.lit(0).alias("off"), F.lit(0).alias("line"), F.array().cast("array<struct<level:int,heading:string>>").alias("stack"), F.array().cast(f"array<{_SECTION}>").alias("done")).cast(_STATE)
     return F.aggregate(pieces, start, step, lambda s: s["done"])
@@ -71,18 +73,22 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\n+"), lambda p: strip(p)), lambda p: p != "")
 
 
+def _closed(s: Column, last: Column, least: int) -> Column:
+    """A fold's finished chunks and, if it is long enough, the one it was at. (As the fold's last step: outside, the fold would run once per mention.)"""
+    return F.when(F.length(s["cur"]) >= max(least, 1), F.concat(s["done"], F.array(last))).otherwise(s["done"])
+
+
 def pack(parts: Column, limit: int, glue: str = "\n\n") -> Column:
     """Parts joined greedily while they fit; a part above the limit stays whole."""
     state = "struct<done:array<string>,cur:string>"
-    fold = F.aggregate(
+    return F.aggregate(
         parts,
         F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur")).cast(state),
         lambda s, p: F.when(s["cur"] == "", F.struct(s["done"].alias("done"), p.alias("cur")))
         .when(F.length(s["cur"]) + F.length(p) + len(glue) > limit, F.struct(F.concat(s["done"], F.array(s["cur"])).alias("done"), p.alias("cur")))
         .otherwise(F.struct(s["done"].alias("done"), F.concat(s["cur"], F.lit(glue), p).alias("cur"))),
+        lambda s: _closed(s, s["cur"], 1),
     )
-    last = F.when(fold["cur"] != "", F.array(fold["cur"])).otherwise(F.array().cast("array<string>"))
-    return F.concat(fold["done"], last)
 
 
 def split_at_paragraphs(text: Column, limit: int) -> Column:
@@ -112,7 +118,9 @@ def coarse_array(text: Column, limit: int = 2500, pct: float = 0.1) -> Column:
 
 
 def _chunk_rows(docs: DataFrame, id_col: str, chunks: Column, overlaps: Column) -> DataFrame:
-    rows = docs.filter(F.col("_t").isNotNull()).select(id_col, chunks.alias("_all")).select(id_col, F.size("_all").alias("total_chunks"), F.posexplode("_all").alias("chunk_index", "c"))
+    # each element takes the total along: the array itself must not stay beside its exploded rows
+    counted = let(chunks, lambda all_: F.transform(all_, lambda c: F.struct(c.alias("c"), F.size(all_).alias("n"))))
+    rows = docs.filter(F.col("_t").isNotNull()).select(id_col, F.posexplode(counted).alias("chunk_index", "x")).select(id_col, "chunk_index", F.col("x.n").alias("total_chunks"), F.col("x.c").alias("c"))
     return rows.select(
         id_col, "chunk_index", "total_chunks", "c.text", F.col("c.hierarchy").alias("section_hierarchy"), "c.char_start",
         (F.col("c.char_start") + F.length("c.text")).alias("char_end"), overlaps.alias("overlap_with_previous"),
@@ -158,15 +166,15 @@ def overlap_text(text: Column, n: int) -> Column:
 def split_long(text: Column, size: int) -> Column:
     """Sentences joined greedily; sizes leave the blank between them out of account."""
     state = "struct<done:array<string>,cur:string>"
-    fold = F.aggregate(
+    return F.aggregate(
         F.split(text, r"(?<=[.!?])\s+"),
         F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur")).cast(state),
         lambda s, p: F.when(
             F.length(s["cur"]) + F.length(p) > size,
             F.struct(F.when(s["cur"] != "", F.concat(s["done"], F.array(strip(s["cur"])))).otherwise(s["done"]).alias("done"), p.alias("cur")),
         ).otherwise(F.struct(s["done"].alias("done"), F.when(s["cur"] != "", F.concat(s["cur"], F.lit(" "), p)).otherwise(p).alias("cur"))),
+        lambda s: _closed(s, strip(s["cur"]), 1),
     )
-    return F.concat(fold["done"], F.when(fold["cur"] != "", F.array(strip(fold["cur"]))).otherwise(F.array().cast("array<string>")))
 
 
 def semantic_chunks(text: Column, size: int = 1024, overlap: int = 100, least: int = 100) -> Column:
@@ -186,9 +194,8 @@ def semantic_chunks(text: Column, size: int = 1024, overlap: int = 100, least: i
         )
 
     parts = F.filter(F.transform(F.split(text, "\n\n"), lambda p: strip(p)), lambda p: p != "")
-    fold = F.aggregate(parts, F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n")).cast(state), step)
-    last = F.when((fold["cur"] != "") & (F.length(fold["cur"]) >= least), F.array(strip(fold["cur"]))).otherwise(F.array().cast("array<string>"))
-    return F.concat(fold["done"], last)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n")).cast(state)
+    return F.aggregate(parts, start, step, lambda s: _closed(s, strip(s["cur"]), least))
 
 
 # Fixed value: the order in which separators are tried.
@@ -207,16 +214,15 @@ def _recursive_parts(text: Column, separators: tuple[str, ...], size: int) -> Co
 def recursive_chunks(text: Column, size: int = 1024, least: int = 100, separators: tuple[str, ...] = SEPARATORS) -> Column:
     """Pieces between separators, finer ones only where a piece is too large, joined up to the size."""
     state = "struct<done:array<string>,cur:string>"
-    fold = F.aggregate(
+    return F.aggregate(
         _recursive_parts(text, separators, size),
         F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur")).cast(state),
         lambda s, p: F.when(
             F.length(s["cur"]) + F.length(p) > size,
             F.struct(F.when(s["cur"] != "", F.concat(s["done"], F.array(strip(s["cur"])))).otherwise(s["done"]).alias("done"), p.alias("cur")),
         ).otherwise(F.struct(s["done"].alias("done"), F.concat(s["cur"], p).alias("cur"))),
+        lambda s: _closed(s, strip(s["cur"]), least),
     )
-    last = F.when((fold["cur"] != "") & (F.length(fold["cur"]) >= least), F.array(strip(fold["cur"]))).otherwise(F.array().cast("array<string>"))
-    return F.concat(fold["done"], last)
 
 
 def chunk_rows(docs: DataFrame, chunks: Column, id_col: str = "doc_id") -> DataFrame:

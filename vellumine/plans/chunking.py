@@ -6,9 +6,15 @@ from pyspark.sql import functions as F
 
 from vellumine.operators import chunking as K
 from vellumine.plans.registry import Registry
-from vellumine.sources.tables import table
+from vellumine.sources.tables import spread, table
 
 chunking = Registry()
+
+
+def _docs(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _CLEAN = r"regexp_replace(regexp_replace(text, '\n---+\n', chr(10) || chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 
@@ -57,27 +63,27 @@ _OUT = "doc_id, chunk_index, total_chunks, text, section_hierarchy, char_start,
 
 @chunking.query("headings", rf"WITH {_sections_sql('text')} SELECT doc_id, line_no::INTEGER AS line_no, off AS \"offset\", level, heading FROM heads".replace('\\"', '"'))
 def headings(spark, sf_dir):
-    return K.headings(table(spark, sf_dir, "documents"))
+    return K.headings(_docs(spark, sf_dir))
 
 
 @chunking.query("section_split", f"WITH {_sections_sql('text')} SELECT doc_id, section, hierarchy, text, char_start, char_end FROM sections")
 def section_split(spark, sf_dir):
-    return K.sections(table(spark, sf_dir, "documents"))
+    return K.sections(_docs(spark, sf_dir))
 
 
 @chunking.query("clean_markdown", f"SELECT doc_id, {_CLEAN} AS cleaned FROM documents")
 def clean_markdown(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", K.clean_markdown(F.col("text")).alias("cleaned"))
+    return _docs(spark, sf_dir).select("doc_id", K.clean_markdown(F.col("text")).alias("cleaned"))
 
 
 @chunking.query("paragraph_pack", f"WITH RECURSIVE {_pack_sql('documents', 'doc_id', 600, True, 'packed')} SELECT doc_id, pos::INTEGER AS pos, raw AS chunk FROM packed")
 def paragraph_pack(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(K.split_at_paragraphs(F.col("text"), 600)).alias("pos", "chunk"))
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(K.split_at_paragraphs(F.col("text"), 600)).alias("pos", "chunk"))
 
 
 @chunking.query("chunk_coarse", _COARSE + f" SELECT {_OUT.replace('overlap_with_previous', 'chunk_index > 0 AS overlap_with_previous')} FROM coarse")
 def chunk_coarse(spark, sf_dir):
-    return K.coarse_chunks(table(spark, sf_dir, "documents"))
+    return K.coarse_chunks(_docs(spark, sf_dir))
 
 
 @chunking.query(
@@ -90,7 +96,7 @@ fine AS (SELECT f.doc_id, f.fi::INTEGER AS chunk_index, f.total::INTEGER AS tota
 SELECT {_OUT} FROM fine""",
 )
 def chunk_fine(spark, sf_dir):
-    return K.fine_chunks(table(spark, sf_dir, "documents"))
+    return K.fine_chunks(_docs(spark, sf_dir))
 
 
 _ROWS = r"doc_id, chunk_index, text, length(text)::INTEGER AS length, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::INTEGER AS word_count"
@@ -102,7 +108,7 @@ _ROWS = r"doc_id, chunk_index, text, length(text)::INTEGER AS length, len(list_f
 SELECT {_ROWS} FROM (SELECT doc_id, text, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS chunk_index FROM c WHERE length(text) >= 100)""",
 )
 def chunk_fixed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _docs(spark, sf_dir)
     return K.chunk_rows(docs, K.fixed_windows(F.col("text")))
 
 
@@ -111,21 +117,21 @@ def chunk_fixed(spark, sf_dir):
     "SELECT doc_id, CASE WHEN length(text) <= 100 THEN text WHEN strpos(t, '. ') > 0 THEN substring(t, strpos(t, '. ') + 2) ELSE t END AS tail FROM (SELECT doc_id, text, right(text, 100) AS t FROM documents)",
 )
 def overlap_tail(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", K.overlap_text(F.col("text"), 100).alias("tail"))
+    return _docs(spark, sf_dir).select("doc_id", K.overlap_text(F.col("text"), 100).alias("tail"))
 
 
 @chunking.query("chunk_semantic")
 def chunk_semantic(spark, sf_dir):
-    return K.chunk_rows(table(spark, sf_dir, "documents"), K.semantic_chunks(F.col("text")))
+    return K.chunk_rows(_docs(spark, sf_dir), K.semantic_chunks(F.col("text")))
 
 
 @chunking.query("chunk_recursive")
 def chunk_recursive(spark, sf_dir):
-    return K.chunk_rows(table(spark, sf_dir, "documents"), K.recursive_chunks(F.col("text")))
+    return K.chunk_rows(_docs(spark, sf_dir), K.recursive_chunks(F.col("text")))
 
 
 @chunking.query("chunk_both", _COARSE + f", f AS (SELECT {_OUT.replace('overlap_with_previous', 'chunk_index > 0 AS overlap_with_previous')} FROM coarse) SELECT doc_id, printf('%d_coarse_%04d', doc_id, chunk_index) AS chunk_id, length(text)::INTEGER AS n_chars FROM f")
 def chunk_both(spark, sf_dir):
     """Chunk ids as the chunk files name them."""
-    c = K.coarse_chunks(table(spark, sf_dir, "documents"))
+    c = K.coarse_chunks(_docs(spark, sf_dir))
     return c.select("doc_id", F.format_string("%d_coarse_%04d", "doc_id", "chunk_index").alias("chunk_id"), F.length("text").alias("n_chars"))
