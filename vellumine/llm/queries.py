@@ -17,7 +17,7 @@ from vellumine.llm.splitting import split_oversized
 from vellumine.llm.tokens import with_tokens
 from vellumine.plans.registry import Registry
 from vellumine.session import cut
-from vellumine.sources.tables import table
+from vellumine.sources.tables import spread, table
 
 llm = Registry()
 
@@ -133,12 +133,12 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @llm.query("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_personal(table(spark, sf_dir, "documents")).select("doc_id", "kind", "char_start").distinct()
+    return find_personal(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "kind", "char_start").distinct()
 
 
 @llm.query("p9_redacted")
 def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "redacted")
+    return redact(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "redacted")
 
 
 @llm.query("p2_found")
