@@ -4,15 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
+from vellumine.session import cut
 
-def with_row_number(df: DataFrame, order: str, out: str) -> DataFrame:
-    """The rows with their 0-based place in the order of a column; ties in no fixed order.
+_PLACE_BITS = 33  # of monotonically_increasing_id: the place in the partition; the partition is above
 
-    Rows are range-partitioned; the partitions' sizes, one row each, give each partition its start.
+
+def with_row_number(df: DataFrame, order: str | list[str], out: str) -> DataFrame:
+    """The rows with their 0-based place in the order of one or more columns; nulls first, ties by the row's hash.
+
+    Rows are range-partitioned on the order and the hash, so a value that many rows share is divided
+    as well, and written once with a reliable checkpoint: every later use sees the same partitions.
+    A row's number is its place in its partition plus the rows before that partition, one row each.
+    No rows give no numbers; rows equal in every column are interchangeable.
     """
-    parts = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    local = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    starts = sizes.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
-    return local.join(F.broadcast(starts.select("_p", "_s")), "_p").withColumn(out, F.col("_s") + F.col("_n")).drop("_p", "_n", "_s")
+    keys = [order] if isinstance(order, str) else list(order)
+    hashed = [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    by = [*keys, "_tie"]
+    sorted_ = df.withColumn("_tie", F.xxhash64(*hashed)).repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
+    rows = cut(sorted_).withColumn("_i", F.monotonically_increasing_id())
+    rows = rows.withColumn("_p", F.shiftright("_i", _PLACE_BITS)).withColumn("_i", F.col("_i") - F.shiftleft("_p", _PLACE_BITS))
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    return rows.join(F.broadcast(starts), "_p").withColumn(out, F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")

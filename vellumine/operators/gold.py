@@ -69,3 +69,11 @@ def cohens_kappa(both: DataFrame) -> DataFrame:
     one = total.crossJoin(chance)  # one row each
     po, pe = F.col("same") / F.col("n"), F.col("ar") / (F.col("n") * F.col("n"))
     return one.select("n", po.alias("observed"), pe.alias("expected"), F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)).alias("kappa"))
+
+
+def gate(kappa: DataFrame, target: float, strict: bool = False) -> DataFrame:
+    """One row ``(n, kappa, verdict, exit_code)`` of one of ``cohens_kappa``: ``undefined`` without labels,
+    ``pass`` from the target on, else ``below target``, which alone is an error and only if strict."""
+    n = F.coalesce("n", F.lit(0))
+    verdict = F.when(n == 0, "undefined").when(F.col("kappa") >= target, "pass").otherwise("below target")
+    return kappa.select(n.alias("n"), "kappa", verdict.alias("verdict"), F.when(F.lit(strict) & (verdict == "below target"), 1).otherwise(0).alias("exit_code"))

@@ -6,7 +6,6 @@ its own per call.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession, Window
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vellumine.operators.metadata import corpus_summary
 from vellumine.plans.registry import Registry
+from vellumine.session import shared_folder
 from vellumine.sources import files as S
 from vellumine.sources.tables import table
 from vellumine.streaming import incremental
@@ -22,8 +22,7 @@ files = Registry()
 
 
 def scratch(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="vellumine-files-")
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def _first_ingested(spark, sf_dir):
@@ -37,11 +36,26 @@ _ONE = "SELECT DISTINCT ON (chunk_id) * FROM chunks ORDER BY chunk_id, ingested_
 @files.query("roundtrip_chunk_files", f"SELECT paper_id || '_' || chunk_type AS file, chunk_id, text, chunk_index, coalesce(section_hierarchy, []) AS section_hierarchy FROM ({_ONE})")
 def roundtrip_chunk_files(spark, sf_dir):
     at = scratch(spark)
-    bodies = S.chunk_files(_first_ingested(spark, sf_dir))
-    S.write_named(bodies, at, F.concat("paper_id", F.lit("_"), "chunk_type", F.lit(".json")), "body").agg(F.sum("n_bytes")).collect()
+    S.write_chunk_files(_first_ingested(spark, sf_dir), at).agg(F.sum("n_items")).collect()
     return S.read_chunk_files(spark, at).select("file", "chunk_id", "text", "chunk_index", "section_hierarchy")
 
 
+@files.query("roundtrip_bare_chunk_files", f"SELECT paper_id || '_' || chunk_type AS file, chunk_id, char_start, coalesce(char_end, 0) AS char_end FROM ({_ONE.replace('*', '* REPLACE (coalesce(char_start, 0) AS char_start)')}) WHERE chunk_type = 'coarse'")
+def roundtrip_bare_chunk_files(spark, sf_dir):
+    """The coarse chunks as bare lists."""
+    at = scratch(spark)
+    S.write_chunk_files(_first_ingested(spark, sf_dir), at, bare=True).agg(F.sum("n_items")).collect()
+    return S.read_bare_chunk_files(spark, at, "coarse").select("file", "chunk_id", "char_start", "char_end")
+
+
+@files.query("roundtrip_chunk_map", f"SELECT row_number() OVER (ORDER BY paper_id NULLS FIRST, chunk_type NULLS FIRST, chunk_index NULLS FIRST, chunk_id NULLS FIRST) - 1 AS row_id, chunk_id, text FROM ({_ONE}) WHERE chunk_type = 'coarse'")
+def roundtrip_chunk_map(spark, sf_dir):
+    """The coarse chunks by their row in an index, written as one JSON object with text keys."""
+    at = scratch(spark)
+    S.write_chunk_map(_first_ingested(spark, sf_dir).filter("chunk_type = 'coarse'"), at, "coarse_metadata.json")
+    return S.read_chunk_map(spark, f"{at}/coarse_metadata.json").select("row_id", "chunk_id", "text")
+
+
 @files.query("roundtrip_markdown", r"SELECT paper_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM documents WHERE paper_id IS NOT NULL")
 def roundtrip_markdown(spark, sf_dir):
     at = scratch(spark)
@@ -54,10 +68,9 @@ def roundtrip_markdown(spark, sf_dir):
 def roundtrip_gold_files(spark, sf_dir):
     """Pairs as one JSON array per member, read back with the member's name."""
     at = scratch(spark)
-    pairs = table(spark, sf_dir, "gold_pairs")
-    fields = [c for c in ("id", "question", "gold_answer", "difficulty", "category", "annotator", "reviewer", "review_status", "iaa_subset", "claims")]
-    per = pairs.groupBy("member_file").agg(F.to_json(F.collect_list(F.struct(*fields))).alias("body"))
-    S.write_named(per, at, F.col("member_file"), "body").agg(F.count("*")).collect()
+    fields = ["id", "question", "gold_answer", "difficulty", "category", "annotator", "reviewer", "review_status", "iaa_subset", "claims"]
+    pairs = table(spark, sf_dir, "gold_pairs").withColumn("_item", F.to_json(F.struct(*fields)))
+    S.write_arrays(pairs, at, F.col("member_file"), F.col("_item"), ["id", "_item"], F.lit("["), F.lit("]")).agg(F.sum("n_items")).collect()
     return S.read_gold(spark, at).select("id", "annotator", F.size("claims").alias("n_claims"), "member_file").distinct()
 
 
@@ -93,12 +106,30 @@ def roundtrip_id_list(spark, sf_dir):
     return S.read_id_list(spark, f"{at}/ids")
 
 
-@files.query("file_listing", "SELECT member_file AS name, count(*) > 0 AS found FROM gold_pairs GROUP BY 1")
+@files.query("file_listing", "SELECT 'in' AS folder, member_file AS name, (2 + sum(octet_length(encode(id)) + 2) + count(*) - 1)::BIGINT AS length FROM gold_pairs WHERE id IS NOT NULL GROUP BY member_file")
 def file_listing(spark, sf_dir):
+    """The files of a folder with their sizes: one list of ids per member."""
+    at = scratch(spark)
+    quoted = F.concat(F.lit('"'), "id", F.lit('"'))
+    S.write_arrays(table(spark, sf_dir, "gold_pairs"), at, F.concat(F.lit("in/"), "member_file"), quoted, ["id"], F.lit("["), F.lit("]")).agg(F.sum("n_items")).collect()
+    return S.list_files(spark, at, "*.json").select("folder", "name", "length")
+
+
+@files.query("folder_listing", "SELECT DISTINCT paper_id AS folder FROM documents WHERE paper_id IS NOT NULL")
+def folder_listing(spark, sf_dir):
+    """The papers of a store, from the names of their folders; no file is opened."""
+    at = scratch(spark)
+    docs = table(spark, sf_dir, "documents").filter("paper_id is not null and text is not null")
+    S.write_named(docs, at, F.concat("paper_id", F.lit("/document.md")), "text").agg(F.count("*")).collect()
+    return S.list_files(spark, at, "document.md").select("folder").distinct()
+
+
+@files.query("ids_from_stems", f"SELECT DISTINCT paper_id FROM ({_ONE}) WHERE paper_id IS NOT NULL AND chunk_type IS NOT NULL")
+def ids_from_stems(spark, sf_dir):
+    """The papers that have chunk files, from the files' names without their type."""
     at = scratch(spark)
-    per = table(spark, sf_dir, "gold_pairs").groupBy("member_file").agg(F.to_json(F.collect_list("id")).alias("body"))
-    S.write_named(per, at, F.concat(F.lit("in/"), "member_file"), "body").agg(F.count("*")).collect()
-    return S.list_files(spark, at, "*.json").select("name", (F.col("length") > 0).alias("found"))
+    S.write_chunk_files(_first_ingested(spark, sf_dir), at).agg(F.sum("n_items")).collect()
+    return S.list_files(spark, at, "*.json").select(F.regexp_replace("name", r"_(?:coarse|fine)\.json$", "").alias("paper_id")).distinct()
 
 
 @files.query("failure_report", "SELECT id, 'no pdf' AS error FROM flat_works WHERE NOT coalesce(has_any_pdf, false)")
@@ -115,26 +146,24 @@ def summary_json(spark, sf_dir):
     return spark.createDataFrame([(text,)], "t string").select(F.get_json_object("t", "$.total_works").cast("long").alias("total_works"), F.get_json_object("t", "$.with_doi").cast("long").alias("with_doi"))
 
 
-@files.query("stream_hourly_counts", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+@files.query("stream_hourly_counts", "SELECT * FROM (SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL) WHERE hour + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOUR FROM events)")
 def stream_hourly_counts(spark, sf_dir):
-    """The events replayed as a stream into complete hourly counts; equal to the batch result."""
+    """The events replayed as a stream into hourly counts, each hour written once, when the watermark has passed it."""
     at = scratch(spark)
     events = table(spark, sf_dir, "events")
     events.write.parquet(f"{at}/in")
-    name = f"hourly_{uuid.uuid4().hex}"
     counts = incremental.hourly_counts(incremental.replay(spark, f"{at}/in", events.schema, 100))
-    q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    incremental.append_to(counts, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-@files.query("stream_chunks", "SELECT doc_id, count(*) > 0 AS chunked FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@files.query("stream_chunks", "SELECT doc_id, length(text) AS n_chars, true AS complete FROM documents WHERE text IS NOT NULL AND length(trim(text)) > 0")
 def stream_chunks(spark, sf_dir):
-    """Documents that arrive in files, each chunked once although one file comes twice."""
+    """Documents that arrive in files, each chunked once although some files come twice: every chunk of each is there, none twice."""
     at = scratch(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs.write.parquet(f"{at}/in")
     docs.filter("doc_id % 10 = 0").write.mode("append").parquet(f"{at}/in")
     incremental.chunk_stream(incremental.replay(spark, f"{at}/in", docs.schema, 2), f"{at}/chunks", f"{at}/checkpoint").awaitTermination()
-    out = spark.read.parquet(f"{at}/chunks")
-    return out.groupBy("doc_id").agg((F.count("*") == F.max("total_chunks")).alias("chunked"))
+    got = spark.read.parquet(f"{at}/chunks").groupBy("doc_id").agg(((F.count("*") == F.max("total_chunks")) & (F.countDistinct("chunk_index") == F.count("*"))).alias("complete"))
+    return got.join(docs.select("doc_id", F.length("text").alias("n_chars")).distinct(), "doc_id").select("doc_id", "n_chars", "complete")

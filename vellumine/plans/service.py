@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumine.functions.numbering import with_row_number
 from vellumine.functions.text import strip
 from vellumine.operators import answers as A
 from vellumine.operators import faithfulness as V
 from vellumine.operators import gold as G
 from vellumine.operators import layout as L
 from vellumine.operators import retrieval as R
+from vellumine.plans.analysis import _PAIRS_SQL
 from vellumine.plans.registry import Registry
 from vellumine.plans.retrieval import _hits, _rounded, _topk_sql
 from vellumine.sources.tables import table
@@ -132,10 +136,29 @@ def available_models(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("lang").alias("model")).distinct().filter("model not in ('fr')")
 
 
-@service.query("kappa_gate", "SELECT CASE WHEN count(*) = 0 THEN 'no labels' WHEN avg((annotator_label = reviewer_label)::INTEGER) >= 0.99 THEN 'pass' ELSE 'below target' END AS verdict FROM (SELECT lower(trim(c.annotator_label)) AS annotator_label, lower(trim(c.reviewer_label)) AS reviewer_label FROM (SELECT unnest(claims) AS c FROM gold_pairs WHERE iaa_subset)) WHERE annotator_label IN ('supports', 'contradicts', 'unrelated') AND reviewer_label IN ('supports', 'contradicts', 'unrelated')")
+# Fixed value: the agreement that is aimed at.
+KAPPA_TARGET = 0.6
+_LABELS = ("supports", "contradicts", "unrelated")
+
+
+@service.query(
+    "kappa_gate",
+    f"""{_PAIRS_SQL}, l AS (SELECT 'pairs' AS cfg, a, r FROM ok
+  UNION ALL SELECT 'one-sided', CASE WHEN doc_id % 25 = 0 THEN 'unrelated' ELSE 'supports' END, CASE WHEN doc_id % 25 = 1 THEN 'unrelated' ELSE 'supports' END FROM documents),
+t AS (SELECT cfg, count(*)::DOUBLE AS n, avg((a = r)::INTEGER) AS po FROM l GROUP BY cfg),
+m AS (SELECT cfg, v, count(*) FILTER (WHERE a = v) AS x, count(*) FILTER (WHERE r = v) AS y FROM l, (VALUES ('supports'), ('contradicts'), ('unrelated')) d(v) GROUP BY cfg, v),
+k AS (SELECT cfg, t.n, po, sum(x * y) / (t.n * t.n) AS pe FROM t JOIN m USING (cfg) GROUP BY cfg, t.n, po),
+g AS (SELECT cfg, n, CASE WHEN pe = 1 THEN 1.0 ELSE (po - pe) / (1 - pe) END AS kappa FROM k)
+SELECT cfg, strict, coalesce(n, 0)::BIGINT AS n, round(kappa, 6) AS kappa, CASE WHEN n IS NULL THEN 'undefined' WHEN kappa >= {KAPPA_TARGET} THEN 'pass' ELSE 'below target' END AS verdict,
+  CASE WHEN strict AND kappa < {KAPPA_TARGET} THEN 1 ELSE 0 END AS exit_code FROM (VALUES ('pairs'), ('one-sided'), ('none')) c(cfg) LEFT JOIN g USING (cfg) CROSS JOIN (VALUES (true), (false)) s(strict)""",
+)
 def kappa_gate(spark, sf_dir):
-    k = G.cohens_kappa(G.label_pairs(table(spark, sf_dir, "gold_pairs"), ("supports", "contradicts", "unrelated")))
-    return k.select(F.when(F.coalesce("n", F.lit(0)) == 0, "no labels").when(F.col("observed") >= 0.99, "pass").otherwise("below target").alias("verdict"))
+    """The gate on the agreement subset, on labels that agree in 92 % of all cases by chance alone, and on no labels; strict and not."""
+    rare = lambda i: F.when(F.col("doc_id") % 25 == i, "unrelated").otherwise("supports")
+    pairs = G.label_pairs(table(spark, sf_dir, "gold_pairs"), _LABELS)
+    sets = {"pairs": pairs, "one-sided": table(spark, sf_dir, "documents").select(rare(0).alias("annotator_label"), rare(1).alias("reviewer_label")), "none": pairs.limit(0)}
+    gates = [G.gate(G.cohens_kappa(labels), KAPPA_TARGET, strict).select(F.lit(name).alias("cfg"), F.lit(strict).alias("strict"), "n", F.round("kappa", 6).alias("kappa"), "verdict", "exit_code") for name, labels in sets.items() for strict in (True, False)]
+    return reduce(DataFrame.unionByName, gates)
 
 
 @service.query("citations_in_chunks", r"WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks) SELECT chunk_id, len(list_filter(['[1]', '[15]', '(20)', '$^{7}$'], lambda x: contains(text, x)))::INTEGER AS n_cited FROM c")
@@ -158,8 +181,6 @@ def gold_papers(spark, sf_dir):
 @service.query("shared_papers", "WITH g AS (SELECT id, list_distinct(list(s.paper_id)) AS p FROM (SELECT id, unnest(c.supporting_spans) AS s FROM (SELECT id, unnest(claims) AS c FROM gold_pairs)) GROUP BY 1), n AS (SELECT id, p, lead(p) OVER (ORDER BY id) AS q FROM g) SELECT id, len(list_intersect(p, q))::INTEGER AS shared FROM n WHERE q IS NOT NULL")
 def shared_papers(spark, sf_dir):
     """How many papers a pair shares with the next one by id."""
-    from vellumine.functions.numbering import with_row_number
-
     sets = G.spans(table(spark, sf_dir, "gold_pairs")).groupBy("id").agg(F.collect_set("paper_id").alias("p"))
     a = with_row_number(sets, "id", "n")
     b = a.select((F.col("n") - 1).alias("n"), F.col("p").alias("q"))

@@ -24,14 +24,25 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only where that is unset and the
+    session runs on one machine (tests) is it a temporary folder; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="vellumine-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster shares.
+    """Cut lineage with a reliable checkpoint in the shared folder.
 
-    ``spark.checkpoint.dir`` names that folder. Only where it is unset (tests, one machine) a
-    temporary folder is made. The files outlive executors, so a lost one costs no recomputation.
+    The files outlive executors, so a lost one costs no recomputation.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vellumine-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

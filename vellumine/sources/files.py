@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumine.functions.numbering import with_row_number
 from vellumine.sources import schemas
 
 
@@ -24,10 +27,40 @@ def read_works(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_chunk_files(spark: SparkSession, path: str, chunk_type: str | None = None) -> DataFrame:
-    """One row per chunk of ``<paper>_<type>.json`` files, with its file; unreadable files are skipped."""
+    """One row per chunk of ``<paper>_<type>.json`` files, with its file; unreadable files are skipped.
+
+    A missing key gets its default: no hierarchy, no overlap, offsets 0. Order by ``file`` and
+    ``chunk_index`` for the order of the files' names.
+    """
     raw = spark.read.schema(schemas.CHUNK_FILE).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", f"*_{chunk_type or '*'}.json").json(path)
     rows = raw.select(_name(r"([^/]+)\.json$").alias("file"), F.explode("chunks").alias("c"))
-    return rows.select("file", "c.*").withColumn("section_hierarchy", F.coalesce("section_hierarchy", F.array().cast("array<string>")))
+    return _with_defaults(rows.select("file", "c.*"))
+
+
+def _with_defaults(chunks: DataFrame) -> DataFrame:
+    defaults = {"section_hierarchy": F.array().cast("array<string>"), "overlap_with_previous": F.lit(False), "char_start": F.lit(0), "char_end": F.lit(0), "text": F.lit("")}
+    return chunks.withColumns({c: F.coalesce(c, d) for c, d in defaults.items()})
+
+
+def read_bare_chunk_files(spark: SparkSession, path: str, chunk_type: str | None = None) -> DataFrame:
+    """The same of ``<paper>_<type>_chunks.json`` files, each a list of chunks."""
+    raw = spark.read.schema(schemas.CHUNK).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", f"*_{chunk_type or '*'}_chunks.json").json(path)
+    return _with_defaults(raw.select(_name(r"([^/]+)_chunks\.json$").alias("file"), "*"))
+
+
+def write_chunk_map(chunks: DataFrame, path: str, name: str) -> None:
+    """One JSON object from row number to chunk: what an index calls its metadata."""
+    numbered = with_row_number(chunks, ["paper_id", "chunk_type", "chunk_index", "chunk_id"], "_row")
+    fields = [c.split()[0] for c in schemas.CHUNK.split(", ")]
+    item = F.concat(F.lit('"'), F.col("_row").cast("string"), F.lit('":'), F.to_json(F.struct(*fields)))
+    write_arrays(numbered, path, F.lit(name), item, ["_row"], F.lit("{"), F.lit("}")).count()
+
+
+def read_chunk_map(spark: SparkSession, path: str) -> DataFrame:
+    """``(row_id, chunk fields)`` of such an object: keys are row numbers written as text."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, struct<{', '.join(c.replace(' ', ': ', 1) for c in schemas.CHUNK.split(', '))}>>").alias("m"))
+    rows = raw.select(F.explode("m").alias("k", "c"))
+    return rows.select(F.col("k").cast("long").alias("row_id"), "c.*")
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
@@ -36,13 +69,23 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return files.select(_name(r"([^/]+)/document\.md$").alias("paper_id"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_gold(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Gold pairs of JSON array files, with the member file they came from."""
+    """Gold pairs of JSON array files, with the member file they came from; a missing path holds no pairs."""
+    paths = [p for p in ([paths] if isinstance(paths, str) else paths) if exists(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], f"{schemas.GOLD}, member_file string")
     return spark.read.schema(schemas.GOLD).option("multiLine", True).json(paths).withColumn("member_file", _name(r"([^/]+)$"))
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct ids, one per line; blanks around them and empty lines are dropped."""
+    """Distinct ids, one per line; blanks around them and empty lines are dropped. A missing file holds no ids."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "id string")
     return spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("id")).filter("id <> ''").distinct()
 
 
@@ -63,40 +106,78 @@ def write_typed(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> N
     df.write.mode("overwrite").option("compression", "snappy").partitionBy(*partition_by).parquet(path)
 
 
-def chunk_files(chunks: DataFrame) -> DataFrame:
-    """``(paper_id, chunk_type, body)``: the JSON body of each paper's chunk file. A file holds one paper, so a paper bounds a group."""
-    fields = [c.split()[0] for c in schemas.CHUNK.split(", ")]
-    grouped = chunks.groupBy("paper_id", "chunk_type").agg(F.max("paper_title").alias("paper_title"), F.count("*").cast("int").alias("total_chunks"), F.sort_array(F.collect_list(F.struct("chunk_index", F.struct(*fields).alias("c")))).alias("x"))
-    body = F.to_json(F.struct("paper_id", "paper_title", "chunk_type", "total_chunks", F.transform("x", lambda x: x["c"]).alias("chunks")))
-    return grouped.select("paper_id", "chunk_type", body.alias("body"))
+def _storage(path: str):
+    """``(file system, path)`` of a folder, opened where the code runs. A scheme that is not supported is an error, never a local file."""
+    from pyarrow import fs
 
+    path = path.replace("s3a://", "s3://", 1).replace("file:///", "/", 1).replace("file:/", "/", 1)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
-def write_named(df: DataFrame, path: str, name: Column, body: str) -> DataFrame:
-    """One file per row through the file system of the path, written by the executors; gives ``(name, n_bytes)``.
 
-    A lost task is run again and writes the same file."""
+def write_arrays(rows: DataFrame, path: str, name: Column, item: Column, order: list[str], head: Column, tail: Column) -> DataFrame:
+    """One file per name, ``head``, then the name's items in order parted by commas, then ``tail``; gives ``(name, n_items)``.
+
+    Rows come to a task sorted by name and order, by a sort that spills; each is written as it comes,
+    so no file is ever held whole. ``head`` and ``tail`` are the same in all rows of a name. Files get
+    their name when they are complete, and a task that is run again writes the same ones. Rows without
+    a name or an item are left out.
+    """
+    shaped = rows.select(name.alias("name"), item.alias("item"), head.alias("head"), tail.alias("tail"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]).filter("name is not null and item is not null")
+    keys = [f"_o{i}" for i in range(len(order))]
+    shaped = shaped.repartition("name").sortWithinPartitions("name", *keys).select("name", "item", "head", "tail")
 
-    def put(batches):
-        import os
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        storage, root = _storage(path)
+        now = out = end = None
+        n = 0
+        unique = uuid.uuid4().hex
 
-        import pandas as pd
+        def close() -> pd.DataFrame:
+            out.write(end.encode())
+            out.close()
+            storage.move(f"{root}/{now}.{unique}", f"{root}/{now}")
+            return pd.DataFrame({"name": [now], "n_items": [n]})
 
         for b in batches:
-            for n, text in zip(b["name"], b["body"]):
-                target = os.path.join(path.removeprefix("file://"), n)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(f"{target}.{os.getpid()}", "w", encoding="utf-8", newline="") as f:
-                    f.write(text)
-                os.replace(f.name, target)
-            yield pd.DataFrame({"name": b["name"], "n_bytes": b["body"].map(lambda t: len(t.encode()))})
+            for key, item, head, tail in zip(b["name"], b["item"], b["head"], b["tail"]):
+                if key != now:
+                    if out is not None:
+                        yield close()
+                    now, end, n = key, tail, 0
+                    storage.create_dir(f"{root}/{now}".rpartition("/")[0], recursive=True)
+                    out = storage.open_output_stream(f"{root}/{now}.{unique}")
+                    out.write(head.encode())
+                out.write((("," if n else "") + item).encode())
+                n += 1
+        if out is not None:
+            yield close()
+
+    return shaped.mapInPandas(put, "name string, n_items long")
+
+
+def write_chunk_files(chunks: DataFrame, path: str, bare: bool = False) -> DataFrame:
+    """``<paper>_<type>.json`` files, each an object with its chunks and their number; ``bare``: ``<paper>_<type>_chunks.json``, a list of them."""
+    fields = [c.split()[0] for c in schemas.CHUNK.split(", ")]
+    chunks = chunks.select(*fields)
+    sizes = chunks.groupBy("paper_id", "chunk_type").agg(F.max("paper_title").alias("_title"), F.count("*").cast("int").alias("_n"))
+    rows = chunks.join(sizes, ["paper_id", "chunk_type"])
+    stem = F.concat("paper_id", F.lit("_"), "chunk_type")
+    item = F.to_json(F.struct(*fields))
+    if bare:
+        return write_arrays(rows, path, F.concat(stem, F.lit("_chunks.json")), item, ["chunk_index", "chunk_id"], F.lit("["), F.lit("]"))
+    about = F.to_json(F.struct("paper_id", F.col("_title").alias("paper_title"), "chunk_type", F.col("_n").alias("total_chunks")))
+    head = F.concat(F.expr("left(_about, length(_about) - 1)"), F.lit(',"chunks":['))
+    return write_arrays(rows.withColumn("_about", about), path, F.concat(stem, F.lit(".json")), item, ["chunk_index", "chunk_id"], head, F.lit("]}"))
+
 
-    return df.select(name.alias("name"), F.col(body).alias("body")).filter("body is not null").mapInPandas(put, "name string, n_bytes long")
+def write_named(df: DataFrame, path: str, name: Column, body: str) -> DataFrame:
+    """One file per row, its text as it is; gives ``(name, n_items)``. Of rows with one name the last is kept."""
+    last = df.select(name.alias("_name"), F.col(body).alias("_body")).groupBy("_name").agg(F.max("_body").alias("_body"))
+    return write_arrays(last, path, F.col("_name"), F.col("_body"), [], F.lit(""), F.lit(""))
 
 
 def write_index(vectors: DataFrame, path: str, id_col: str, vector_col: str, meta: list[str]) -> None:
-    """Vectors and metadata under stable row numbers in the order of the id; the metric is chosen at query time."""
-    from vellumine.functions.numbering import with_row_number
-
+    """Vectors and metadata under row numbers in the order of the id, both from the same numbered rows; the metric is chosen at query time."""
     rows = with_row_number(vectors.select(id_col, F.col(vector_col).alias("embedding"), *meta), id_col, "row_id")
     rows.select("row_id", "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
     rows.select("row_id", id_col, *meta).write.mode("overwrite").parquet(f"{path}/metadata")
