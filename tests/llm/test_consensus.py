@@ -37,7 +37,7 @@ def simulated(n, seed):
 
 def test_better_than_the_majority(spark):
     truth, votes = simulated(400, 4)
-    items, raters = consensus(frame(spark, votes), ["pair_id", "claim_id"], LABELS)
+    items, raters = consensus(frame(spark, votes), ["pair_id", "claim_id"], LABELS, method="confusion")
     got = {r.pair_id: r.consensus_label for r in items.collect()}
     by = {}
     for q, _, _, v in votes:
@@ -45,6 +45,12 @@ def test_better_than_the_majority(spark):
     majority = sum(c.most_common(1)[0][0] == truth[q] for q, c in by.items()) / len(truth)
     ours = sum(got[q] == t for q, t in truth.items()) / len(truth)
     assert ours > majority + 0.05 and ours > 0.88, (ours, majority)
+    for method, better in (("label", 0.04), ("rater", 0.03)):
+        items, raters = consensus(frame(spark, votes), ["pair_id", "claim_id"], LABELS, method=method)
+        other = {r.pair_id: r.consensus_label for r in items.collect()}
+        assert sum(other[q] == t for q, t in truth.items()) / len(truth) > majority + better
+        reliability = {r.rater: r.reliability for r in raters.collect()}
+        assert min(reliability[f"c{i}"] for i in range(8)) > max(reliability[r] for r in ("dice", "swap"))
     reliability = {r.rater: r.reliability for r in raters.collect()}
     assert min(reliability[f"c{i}"] for i in range(8)) > max(reliability[r] for r in ("dice", "swap"))
 
@@ -84,3 +90,24 @@ def test_alpha(spark):
     assert agreement(frame(spark, votes), ["pair_id", "claim_id"]).first().alpha == pytest.approx(brute_alpha(votes))
     assert agreement(frame(spark, [("q", "c", "a", "supports"), ("q", "c", "b", "supports")]), ["pair_id"]).first().alpha == 1.0
     assert agreement(frame(spark, []), ["pair_id"]).first().alpha is None
+
+
+def test_many_raters_are_joined_under_salts(spark, monkeypatch):
+    from vellumine.llm import consensus as module
+
+    _, votes = simulated(120, 5)
+    run = lambda: {r.pair_id: (r.consensus_label, round(r.confidence, 9)) for r in consensus(frame(spark, votes), ["pair_id", "claim_id"], LABELS)[0].collect()}
+    want = run()
+    monkeypatch.setattr(module, "BROADCAST_RATERS", 0)
+    assert run() == want
+
+
+def test_an_unfinished_result_is_an_error(spark, monkeypatch):
+    from vellumine.llm import consensus as module
+
+    _, votes = simulated(120, 5)
+    monkeypatch.setattr(module, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        consensus(frame(spark, votes), ["pair_id", "claim_id"], LABELS)
+    with pytest.raises(ValueError):
+        consensus(frame(spark, votes), ["pair_id", "claim_id"], LABELS, method="?")

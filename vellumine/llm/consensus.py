@@ -1,15 +1,20 @@
 """One label per item from raters who disagree, with agreement and reliabilities.
 
-Iteratively reweighted voting. A vote's weight is what its rater's record says: the log of how
-often the rater gives that label where the truth is each candidate, smoothed towards all raters'
-common record, and taken without the item itself (leave-one-out), so no vote vouches for its own
-rater. Weights and consensus alternate until no label changes. The record is kept per true and
-given label, not as one accuracy: a rater who answers ``supports`` to everything is right most of
-the time and still says nothing, and one who swaps two labels can be read.
-
-Everything is in long form: no item's votes and no rater's votes are gathered in one task. A
-rater's record is a few numbers, summed map-side; it is joined back under a salt, so a rater with
-a third of all votes is spread.
+Iteratively reweighted voting. A vote counts with the log-odds of its rater's accuracy over those of
+the label's share, so a vote of a rater who is right no more often than chance counts nothing, and
+one of a rater who is mostly wrong counts against its label. Accuracy is taken among the votes in
+which the rater gave that label, smoothed towards the rater's accuracy over all votes, which is
+smoothed towards all raters' accuracy; the vote's own item is left out of both (leave-one-out), so
+no vote vouches for its own rater. Weighted consensus and accuracies alternate until no label changes.
+
+One accuracy over all labels cannot tell a rater who answers ``supports`` to everything from a
+careful one; for that there is ``method="rater"``. ``method="confusion"`` weighs a vote by how often
+the rater gives that label where the truth is each candidate.
+
+Everything is in long form: no item's votes and no rater's votes are gathered in one task. Votes are
+written once, partitioned by item, and each round writes beliefs per item and records per rater. A
+record is a few numbers, summed map-side; it is broadcast while the raters are counted to be at most
+``BROADCAST_RATERS``, and joined under a salt beyond, so a rater with a third of all votes is spread.
 """
 
 from __future__ import annotations
@@ -20,6 +25,10 @@ from pyspark.sql import functions as F
 from vellumine.session import cut
 
 SALTS = 16
+BROADCAST_RATERS = 100_000
+METHODS = ("label", "rater", "confusion")
+#: From this round on a new belief is averaged with those before, so that items on a border cannot swing for ever.
+SETTLE_AFTER, MOST_ROUNDS = 10, 100
 
 
 def normal(c: str) -> Column:
@@ -42,70 +51,100 @@ def latest_votes(votes: DataFrame, item: list[str], rater: str, label: str, at:
     return rows.groupBy(*item, "_r").agg(best).select(*item, F.col("_r").alias("rater"), F.col("b._l").alias("label"))
 
 
-def consensus(
-    votes: DataFrame, item: list[str], labels: list[str], smoothing: float = 4.0, max_rounds: int = 30
-) -> tuple[DataFrame, DataFrame]:
+def consensus(votes: DataFrame, item: list[str], labels: list[str], smoothing: float = 4.0, method: str = "label") -> tuple[DataFrame, DataFrame]:
     """``(items, raters)`` from ``votes(item.., rater, label)``, one vote per item and rater.
 
     ``items(item.., n_raters, consensus_label, confidence)`` has one row per item with a vote;
-    ``raters(rater, n_votes, reliability)``, where reliability is the mean belief in the labels the
-    rater gave, smoothed towards chance. Ties go to the label first in
-    ``labels``. No votes give two empty tables.
+    ``raters(rater, n_votes, reliability)``, where reliability is the rater's smoothed accuracy over
+    all votes. Ties go to the label first in ``labels``. No votes give two empty tables. Rounds go on
+    until no label changes; that this is not reached in ``MOST_ROUNDS`` is an error.
     """
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}")
     k = len(labels)
     q = [f"q{i}" for i in range(k)]
     given = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")).cast("int") - 1
-    votes = votes.select(F.struct(*item).alias("item"), "rater", given.alias("given"))
-    shares = votes.groupBy("item").agg(*[F.avg((F.col("given") == i).cast("double")).alias(q[i]) for i in range(k)])
-    state = cut(votes.join(shares, "item").withColumn("best", _argmax(q)))
-
-    for _ in range(max_rounds):
-        scored = _rescore(state, k, smoothing)
-        new = cut(state.drop(*q).withColumnRenamed("best", "old").join(scored, "item").withColumn("best", _argmax(q)))
-        changed = new.filter("best <> old").limit(1).count()
-        state = new.drop("old")
-        if not changed:
+    votes = cut(votes.select(F.struct(*item).alias("item"), "rater", given.alias("given")).repartition("item"))
+    shares = votes.groupBy("item").agg(F.count("*").alias("n_raters"), *[F.avg((F.col("given") == i).cast("double")).alias(q[i]) for i in range(k)])
+    beliefs = cut(shares.withColumn("best", _argmax(q)))
+
+    raters = votes.select("rater").distinct().count()
+    for i in range(MOST_ROUNDS):
+        both = votes.join(beliefs, "item")
+        # sums over all raters and items, one row, go along with the records: as columns, so that the same code runs in every round
+        of_items = beliefs.agg(*[F.sum(c).alias(f"t{g}") for g, c in enumerate(q)], F.count("*").alias("t"))
+        of_items = of_items.select(*[((F.coalesce(f"t{g}", F.lit(0.0)) + 1.0) / (F.col("t") + k)).alias(f"prior{g}") for g in range(k)])
+        records = cut(_records(both, k, method))
+        pool = records.agg(*[F.sum(c).alias(f"all_{c}") for c in records.columns if c != "rater"])
+        records = records.crossJoin(F.broadcast(pool)).crossJoin(F.broadcast(of_items))  # one row each
+        scored = _weighted(_with_records(both, records, raters), k, method, smoothing)
+        part = 1.0 / (1 + max(0, i - SETTLE_AFTER))
+        new = beliefs.withColumnsRenamed({c: f"old_{c}" for c in q} | {"best": "old"}).join(scored, "item")
+        new = new.select("item", "n_raters", *[(F.col(f"old_{c}") + part * (F.col(c) - F.col(f"old_{c}"))).alias(c) for c in q], "old")
+        beliefs = cut(new.withColumn("best", _argmax(q)))
+        moved = beliefs.filter("best <> old").limit(1).count()
+        beliefs = beliefs.drop("old")
+        if not moved:
             break
+    else:
+        raise RuntimeError(f"labels still change after {MOST_ROUNDS} rounds")
 
     names = F.array(*[F.lit(x) for x in labels])
-    items = state.groupBy("item").agg(F.count("*").alias("n_raters"), F.first("best").alias("best"), F.first(F.greatest(*q) if k > 1 else F.col(q[0])).alias("confidence"))
-    items = items.select("item.*", F.col("n_raters"), F.get(names, F.col("best")).alias("consensus_label"), "confidence")
-    hit = F.get(F.array(*q), F.col("given"))
-    raters = state.groupBy("rater").agg(F.count("*").alias("n_votes"), ((F.sum(hit) + smoothing / k) / (F.count("*") + smoothing)).alias("reliability"))
-    return items, raters
+    items = beliefs.select("item.*", "n_raters", F.get(names, F.col("best")).alias("consensus_label"), F.greatest(*q, F.lit(0.0)).alias("confidence"))
+    last = _records(votes.join(beliefs, "item"), k, method)
+    n, ok = (sum((F.col(f"{x}{g}") for g in range(k)), F.lit(0.0)) for x in ("n", "ok"))
+    all_ = last.agg((F.sum(ok) / F.sum(n)).alias("mean")).first().mean or 0.0
+    reliabilities = last.select("rater", n.cast("long").alias("n_votes"), ((ok + smoothing * all_) / (n + smoothing)).alias("reliability"))
+    return items, reliabilities
 
 
 def _argmax(q: list[str]) -> Column:
     out = F.lit(len(q) - 1)
     for i in reversed(range(len(q) - 1)):
-        out = F.when(F.col(q[i]) >= F.greatest(*q) if len(q) > 1 else F.lit(True), F.lit(i)).otherwise(out)
+        out = F.when(F.col(q[i]) >= F.greatest(*q), F.lit(i)).otherwise(out)
     return out
 
 
-def _rescore(state: DataFrame, k: int, smoothing: float) -> DataFrame:
-    """New beliefs per item from the leave-one-out records of the raters."""
-    cells = [(c, g) for c in range(k) for g in range(k)]
-    n = lambda c, g: f"n{c}_{g}"
-    record = state.groupBy("rater").agg(*[F.sum(F.when(F.col("given") == g, F.col(f"q{c}")).otherwise(0.0)).alias(n(c, g)) for c, g in cells])
-    pooled = record.agg(*[F.sum(n(c, g)).alias(f"p{c}_{g}") for c, g in cells])
-    record = record.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = state.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
-    both = salted.join(record, ["rater", "salt"]).join(F.broadcast(pooled))  # pooled is one row
-    total = sum((F.col(f"p{c}_{g}") for c, g in cells), F.lit(0.0))
-    terms = []
-    for c in range(k):
-        of_class = sum((F.col(f"p{c}_{g}") for g in range(k)), F.lit(0.0))
-        own = sum((F.when(F.col("given") == g, F.col(n(c, g))).otherwise(0.0) for g in range(k)), F.lit(0.0))
-        of_rater = sum((F.col(n(c, g)) for g in range(k)), F.lit(0.0))
-        common = sum((F.when(F.col("given") == g, F.col(f"p{c}_{g}")).otherwise(0.0) for g in range(k)), F.lit(0.0))
-        base = (common + 1.0 / k) / (of_class + 1.0)
-        loo = lambda x: F.greatest(x - F.col(f"q{c}"), F.lit(0.0))  # noqa: B023, E731
-        terms.append(F.log((loo(own) + smoothing * base) / (loo(of_rater) + smoothing)))
-    prior = [F.log((sum((F.col(f"p{c}_{g}") for g in range(k)), F.lit(0.0)) + 1.0) / (total + k)) for c in range(k)]
-    sums = both.groupBy("item").agg(*[(F.sum(terms[c]) + F.first(prior[c])).alias(f"s{c}") for c in range(k)])
+def _records(both: DataFrame, k: int, method: str) -> DataFrame:
+    """Per rater, of each given label: ``n``, the votes, ``ok``, the belief in them; for ``confusion`` also ``c``, the belief in each label where it was given."""
+    of = lambda g, v: F.sum(F.when(F.col("given") == g, v).otherwise(0.0))
+    aggs = [a for g in range(k) for a in (of(g, F.lit(1.0)).alias(f"n{g}"), of(g, F.col(f"q{g}")).alias(f"ok{g}"), *[of(g, F.col(f"q{c}")).alias(f"c{c}_{g}") for c in range(k) if method == "confusion"])]
+    return both.groupBy("rater").agg(*aggs)
+
+
+def _with_records(both: DataFrame, records: DataFrame, raters: int) -> DataFrame:
+    if raters <= BROADCAST_RATERS:
+        return both.join(F.broadcast(records), "rater")
+    records = records.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return both.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")).join(records, ["rater", "salt"])
+
+
+def _weighted(votes: DataFrame, k: int, method: str, smoothing: float) -> DataFrame:
+    """``(item, q..)``: new beliefs from votes weighted by their raters' leave-one-out records."""
+    pick = lambda x: F.coalesce(*[F.when(F.col("given") == g, F.col(x.format(g=g))) for g in range(k)])
+    over = lambda x: sum((F.col(x.format(g=g)) for g in range(k)), F.lit(0.0))
+    at_least_0 = lambda x: F.greatest(x, F.lit(0.0))
+    hit = pick("q{g}")
+    if method == "confusion":
+        terms = []
+        for c in range(k):
+            own, every = f"c{c}_{{g}}", F.col(f"q{c}")
+            base = (pick(f"all_{own}") + 1.0 / k) / (over(f"all_{own}") + 1.0)
+            terms.append(F.log((at_least_0(pick(own) - every) + smoothing * base) / (at_least_0(over(own) - every) + smoothing)))
+    else:
+        accuracy = (at_least_0(over("ok{g}") - hit) + smoothing * over("all_ok{g}") / over("all_n{g}")) / (over("n{g}") - 1 + smoothing)
+        share = F.lit(1.0 / k)
+        if method == "label":
+            accuracy = (at_least_0(pick("ok{g}") - hit) + smoothing * accuracy) / (pick("n{g}") - 1 + smoothing)
+            share = pick("prior{g}")
+        odds = lambda p: F.log(F.greatest(p, F.lit(1e-9)) / F.greatest(1 - p, F.lit(1e-9)))
+        votes = votes.withColumn("weight", odds(accuracy) - odds(share))
+        terms = [F.when(F.col("given") == c, F.col("weight")).otherwise(0.0) for c in range(k)]
+    base = [F.lit(0.0) if method == "rater" else F.first(F.log(f"prior{c}")) for c in range(k)]
+    sums = votes.groupBy("item").agg(*[(F.sum(terms[c]) + base[c]).alias(f"s{c}") for c in range(k)])
     top = F.greatest(*[F.col(f"s{c}") for c in range(k)]) if k > 1 else F.col("s0")
-    weight = [F.exp(F.col(f"s{c}") - top) for c in range(k)]
-    return sums.select("item", *[(weight[c] / sum(weight, F.lit(0.0))).alias(f"q{c}") for c in range(k)])
+    part = [F.exp(F.col(f"s{c}") - top) for c in range(k)]
+    return sums.select("item", *[(part[c] / sum(part, F.lit(0.0))).alias(f"q{c}") for c in range(k)])
 
 
 def agreement(votes: DataFrame, item: list[str]) -> DataFrame:

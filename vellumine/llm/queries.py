@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellumine.llm.consensus import agreement, consensus, latest_votes
 from vellumine.llm.mixing import mix, shares_reached
 from vellumine.llm.neardup import document_pairs, groups, near_duplicates
-from vellumine.llm.packing import pack
+from vellumine.llm.packing import pack, window_shares
 from vellumine.llm.pii import find_personal, redact
 from vellumine.llm.scans import find_noise, paper_paragraphs, scan_units
 from vellumine.llm.splitting import split_oversized
@@ -152,8 +152,12 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(with_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
 
 
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "mix_targets").select("source", F.col("target_share").alias("share"))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_sized(spark, sf_dir), table(spark, sf_dir, "pack_limits"))
+    return pack(_sized(spark, sf_dir), table(spark, sf_dir, "pack_limits"), _shares(spark, sf_dir))
 
 
 @llm.query("p2_paragraphs")
@@ -169,16 +173,39 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm.query("p7_fill")
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each limit: containers, tokens, and the share of the room that is used."""
-    sums = _packed(spark, sf_dir).groupBy("limit_id").agg(F.countDistinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    per = _packed(spark, sf_dir).groupBy("limit_id", "container").agg(F.sum("n_tokens").alias("n_tokens"))
+    sums = per.groupBy("limit_id").agg(F.count("*").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
     return sums.join(table(spark, sf_dir, "pack_limits"), "limit_id").withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
 
 
+@llm.query("p7_windows")
+def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each window holds of each target source, beside its target."""
+    return window_shares(_packed(spark, sf_dir), _shares(spark, sf_dir))
+
+
+def _target_tokens(sized: DataFrame, targets: DataFrame) -> int:
+    """As much as the target sources hold: the total that is asked for."""
+    wanted = targets.filter("target_share > 0").select("source").distinct()
+    return sized.join(wanted, "source", "left_semi").agg(F.sum("n_tokens")).first()[0] or 0
+
+
 @llm.query("p8_mixture")
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    """A mixture of as many tokens as the target sources hold; a source that cannot give its part gives all its repeats."""
+    sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mix(sized, targets, _target_tokens(sized, targets))
 
 
 @llm.query("p8_shares")
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = table(spark, sf_dir, "mix_targets")
-    return shares_reached(mix(_sized(spark, sf_dir), targets), targets)
+    sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    total = _target_tokens(sized, targets)
+    return shares_reached(mix(sized, targets, total), sized, targets, total)
+
+
+@llm.query("p8_exact_shares")
+def p8_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of the largest mixture in which no source with text falls short."""
+    sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return shares_reached(mix(sized, targets), sized, targets)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,30 +17,35 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Counter:
-    """Token counts; null and empty texts have 0."""
+    """Token counts under the vocabulary of a file's content; null and empty texts have 0."""
 
-    def __init__(self, path: str):
-        self.encode = _encoding(path).encode_ordinary
+    def __init__(self, vocabulary: bytes):
+        self.encode = _encoding(vocabulary).encode_ordinary
 
     def __call__(self, text: str | None) -> int:
         return len(self.encode(text)) if text else 0
 
 
 def with_tokens(df: DataFrame, text_col: str = "text", out_col: str = "n_tokens", tokenizer: str = f"{TOKENIZER_DIR}/{TOKENIZER}") -> DataFrame:
-    """The rows with the number of tokens of a text; null and empty texts have 0."""
+    """The rows with the number of tokens of a text; null and empty texts have 0.
+
+    The vocabulary is read where the plan is made and sent with the job (under 2 MB), so the path need
+    not exist on any other machine.
+    """
+    with open(tokenizer, "rb") as f:
+        vocabulary = df.sparkSession.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(tokenizer)
+        counter = Counter(vocabulary.value)
         for texts in batches:
             yield texts.map(counter).astype("int32")
 
