@@ -1,6 +1,6 @@
 import pytest
 
-from vellumine.llm.pii import checked, find_personal, find_spans, luhn, redact
+from vellumine.llm.pii import card_holds, checked, find_personal, find_spans, iban_holds, luhn, mod11_10, redact
 
 
 def found(text):
@@ -45,6 +45,50 @@ def test_checks():
     assert checked("811228-9874")
 
 
+@pytest.mark.parametrize("text,holds,fails", [
+    ("The form says {} and nothing else.", "12345678Z", "12345678A"),
+    ("Entry {} was copied.", "811228-9874", "811228-9873"),
+    ("Entry {} was copied.", "86095742719", "86095742718"),
+    ("Seen on the sheet: {}.", "123-45-6789", "923-45-6789"),
+    ("Seen on the sheet: {}.", "2 55 08 14 168 025 38", "2 55 08 14 168 025 39"),
+    ("The DNI that we were given is {}.", "12345678Z", "12345678A"),
+])
+def test_only_the_check_decides(text, holds, fails):
+    assert found(text.format(holds)) == [("id_number", holds)]
+    assert not [k for k, _ in found(text.format(fails)) if k == "id_number"]
+
+
+def test_a_check_ranks_a_labelled_number():
+    score = lambda t: find_spans(t)[0][3]
+    assert score("DNI 12345678Z") > score("passport no. X4492662") > score("DNI 12345678A")
+    assert found("The passport number given there is X4492662.") == [("id_number", "X4492662")]
+    assert found("(X4492662, his passport number)") == [("id_number", "X4492662")]
+    assert not found("Lot 811228-9874 and sample 12345678Z were kept; grant 123-45-6789 ended.")
+
+
+def test_cards_and_accounts():
+    assert found("Paid with 4111 1111 1111 1111 today") == [("card", "4111 1111 1111 1111")]
+    assert not [k for k, _ in found("Paid with 4111 1111 1111 1112 today") if k == "card"]
+    assert found("to DE89 3704 0044 0532 0130 00, please") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert found("to GB29NWBK60161331926819.") == [("iban", "GB29NWBK60161331926819")]
+    assert not [k for k, _ in found("to DE88 3704 0044 0532 0130 00, please") if k == "iban"]
+    assert card_holds("3782 822463 10005") and iban_holds("DE89 3704 0044 0532 0130 00") and mod11_10("86095742719")
+
+
+@pytest.mark.parametrize("text,want", [  # sentences with cues that no list names
+    ("Maria Gonzales visited the archive yesterday.", ["Maria Gonzales"]),
+    ("The parcel was left for Tomás Herrera at the desk.", ["Tomás Herrera"]),
+    ("It was then that Joan Oakes met Piotr Zielinski.", ["Joan Oakes", "Piotr Zielinski"]),
+    ("Anke Petersen wohnte damals in der Stadt.", ["Anke Petersen"]),
+    ("Luc Moreau travaillait au musée.", ["Luc Moreau"]),
+    ("Pilar Quintana llegó tarde.", ["Pilar Quintana"]),
+    ("Patent Applications increased in 2004. Energy Policy changed, and policy matters.", []),
+    ("Technology Transfer was slow; Regional Innovation declined.", []),
+])
+def test_names_by_shape_and_general_context(text, want):
+    assert [x for k, x in found(text) if k == "name"] == want
+
+
 def test_rows(spark):
     text = "😀 Dr. Ada Moor, a@b.test"
     rows = [(1, text), (2, None), (3, ""), (None, text), (1, text), (4, "nothing here " * 20_000 + text)]

@@ -1,9 +1,13 @@
 """Personal information in free text: typed spans, and the text with placeholders.
 
-Patterns propose spans; each span has a score that starts from its shape, rises where a checksum
-(Luhn, mod-97, mod-23) holds, and moves with the context words before and after it. Spans that
-reach ``THRESHOLD`` are kept; where two overlap, the kind listed first in ``KINDS`` wins. Every
-text is scanned whole, in one pass over the rows, without a shuffle.
+Patterns propose spans; each span has a score that starts from its shape, rises where its kind's
+checksum holds and falls where it fails, and moves with the context words before and after it. A
+number whose checksum holds needs no label; one whose checksum fails needs a label right before it;
+one of a kind without a checksum needs a label near it; words that say it is something else rule out
+all of them. Spans that reach ``THRESHOLD`` are kept; where two overlap, the kind listed first in
+``KINDS`` wins. Every text is scanned whole, in one pass over the rows, without a shuffle; the
+context of a proposal is ``NEAR`` characters (names: ``NEAR_NAME``, around an ``@``: ``NEAR_AT``),
+before and after.
 """
 
 from __future__ import annotations
@@ -16,8 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "id_number", "address", "phone", "name")
+KINDS = ("email", "iban", "card", "id_number", "address", "phone", "name")
 THRESHOLD = 0.6
+#: Characters of context, before and after.
+NEAR, NEAR_NAME, NEAR_AT = (48, 24), (90, 60), (80, 160)
+#: What a number's score is made of.
+SHAPE, HOLDS, FAILS, LABEL, LABEL_NEAR, VETO = 0.3, 0.35, -0.15, 0.5, 0.3, -0.7
 
 # ---- emails: plain, disguised, or broken over a line ---------------------------------------
 _AT = r"(?:@\n?|\s?[\[({]\s?(?:at|arroba|at-sign)\s?[\])}]\s?|\sAT\s)"
@@ -40,9 +48,18 @@ ID_WORDS = re.compile(
     r"national id|ausweis\w*|personalausweis|DNI|NIE|NIF|tax(?:payer)? (?:id|number|identification)|TIN|ITIN|steuer-?(?:id|nummer|identifikationsnummer)|sozialversicherungs\w*|versicherungs\w*|personnummer|"
     r"carte d'identité|sécurité sociale|num[ée]ro (?:fiscal|de sécurité sociale|d'identité)|seguridad social|documento de identidad|carné|insurance (?:number|no))(?:\s*(?:no\.?|nr\.?|number|numéro|número|nummer|n[º°]))?[\s:#.]{0,3}$"
 )
+_LABELS = ID_WORDS.pattern[: ID_WORDS.pattern.rindex("[")].removeprefix("(?i)")
+#: A label with a few words between it and the number, in the same sentence, or right after it in brackets.
+ID_NEAR = re.compile(rf"(?i){_LABELS}(?:[ ,:(]+(?:(?!or\b|and\b)[a-zà-ÿ]+[ ,:(]+){{1,4}}|\s*\(\s*)$")
+ID_AFTER = re.compile(rf"(?i)\s*[(,]\s*(?:(?:my|his|her|the|a|sein|ihr|son|su)\s)?{_LABELS}")
 PHONE_WORDS = re.compile(r"(?i)\b(?:tel|tél|phone|téléphone|teléfono|telefon|telephone|mobile|mobil|móvil|portable|call|llame al?|ring|text|fax|appel\w*|anruf\w*|unter|contact|fon|dial|reach\w*|or|au)\b[\s.:|]{0,4}\+?$")
 NOT_PERSONAL = re.compile(r"(?i)\b(?:lots?|lot numbers?|grant|award|application|serial|patent|participant|codes?|doi|ISSN|ISBN|budgets? of|report no\.|invoice|order|version|sample|batch|version|items?|article)(?:[\w /:-]|\.(?=\d)){0,24}$")
 
+CARD = re.compile(r"(?<![\w.+-])(?:\d{4}[ -]?){3}\d{1,7}(?![\w-])|(?<![\w.+-])3\d{3}[ -]?\d{6}[ -]?\d{5}(?![\w-])")
+IBAN = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])")
+CARD_WORDS = re.compile(r"(?i)\b(?:card|visa|mastercard|amex|kreditkarte\w*|carte|tarjeta)(?:\s*(?:no\.?|nr\.?|number|numéro|número|nummer))?[\s:#.]{0,3}$")
+IBAN_WORDS = re.compile(r"(?i)\b(?:IBAN|account|konto|compte|cuenta)[\s:#.]{0,3}$")
+
 # ---- addresses ------------------------------------------------------------------------------
 _C = r"[A-ZÀ-Þ][^\W\d_]+"
 _ROAD = r"(?:Street|St\b\.?|Road|Rd\b\.?|Avenue|Ave\b\.?|Drive|Dr\b\.?|Lane|Ln\b\.?|Terrace|Gardens|Close|Court|Ct\b\.?|Crescent|Square|Sq\b\.?|Boulevard|Blvd\b\.?|Way|Place|Pl\b\.?|Grove|Hill|Mews|Row|Walk|Park|Quay|Parade|Highway)"
@@ -94,6 +111,10 @@ NAME_ABOVE = re.compile(r"(?i)\b(?:signed|contacto?|kontakt|ansprechpartner\w*|r
 NAME_AFTER = re.compile(
     r"(?i)^(?:,?\s?(?:jr|sr|phd|md|ii|iii|iv)\b\.?)?\s?(?:[;|]|,?\s?[(<]{0,2}(?:mailto:)?[\w.+'-]+(?:@|\s?[\[(]at[\])]|\sAT\s)|,?\s(?:joined|coded|put it|had asked|appears|shows|who|told|said|wrote|erklärte|sagte|tuvo|fand|incluye|steht|porte|a eu lieu|hat|y a\s|and\s+[A-Z]\S+ [A-Z]|und\s+[A-Z])|\s;|$|\n)"
 )
+#: What people do, by the form of the word that follows; and endings that names rarely have but nouns do.
+_DOES = re.compile(r"^,?\s(?:(?:[a-z]{2,}(?:ed|ied)|said|says|met|left|gave|took|came|went|wrote|told|spoke|held|began|chose|grew|ran|sat|stood|thought|brought|lives?|works?|knows?|was|is|has|had|will|would|can|could)\b(?! (?:by|to be|in the)\b)"
+    r"|(?:war|ist|wohnt|arbeitet|kam|ging|schrieb|sprach|[a-zäöü]{3,}te)\s|(?:était|est|vit|travaille|[a-z]{3,}(?:ait|a))\s|(?:era|es|vive|trabaja|[a-zñ]{3,}(?:ó|ía|aba))\s)")
+_NOUN = re.compile(r"(?:tion|sion|ment|ity|ness|ance|ence|ics|ing|ship|ism|ure|logy|graphy|ung|heit|keit|schaft|tät|ción|dad|ité|ies|ers|ors|als|ants|ents|ions|ysis|ory|ary|ive|ial|ical|ous|able|ible)$")
 _PLAIN_PARTICLE = re.compile(r"\s(?:von|van|de|da|di|del)\s")
 _PREPOSITION = re.compile(r"(?:de|von|du|da|del|di)\s(?!la\b|der\b|den\b)")
 OF_FILE = re.compile(r"(?i)\b(?:expediente|dossier|antrag|akte|carpeta|carta|lettre|brief|solicitud|demande)\s$")
@@ -114,15 +135,47 @@ def mod97(digits: str) -> bool:
     return len(digits) == 15 and 97 - int(digits[:13]) % 97 == int(digits[13:])
 
 
-def checked(text: str) -> bool:
-    """Whether an identity number's own check holds."""
+def mod11_10(digits: str) -> bool:
+    """The hybrid check of ISO 7064 over all digits."""
+    p = 10
+    for d in digits[:-1]:
+        p = ((int(d) + p) % 10 or 10) * 2 % 11
+    return (11 - p) % 10 == int(digits[-1])
+
+
+def iban_holds(text: str) -> bool:
+    s = text.replace(" ", "")
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def card_holds(text: str) -> bool:
+    digits = re.sub(r"\D", "", text)
+    return 13 <= len(digits) <= 19 and digits[0] in "3456" and luhn(digits)
+
+
+def check(text: str) -> bool | None:
+    """Whether an identity number's own check holds; None where its kind has none."""
     s = re.sub(r"[^0-9A-Z]", "", text)
     digits = re.sub(r"\D", "", s)
-    if re.fullmatch(r"[XYZ]?\d{7,8}[A-Z]", s):
+    if re.fullmatch(r"[XYZ]\d{7}[A-Z]|\d{8}[A-Z]", s):
         return "TRWAGMYFPDXBNJZSQVHLCKE"[int(s[:-1].replace("X", "0").replace("Y", "1").replace("Z", "2")) % 23] == s[-1]
-    if len(digits) in (10, 12) and s.isdigit():
-        return luhn(digits[-10:])
-    return mod97(digits)
+    if not s.isdigit():
+        return None
+    if len(digits) in (10, 12) and text[-5] in "-+":  # a day of birth and a Luhn digit; the day may be raised by 60
+        month, day = int(digits[-8:-6]), int(digits[-6:-4])
+        return 1 <= month <= 12 and 1 <= day % 60 <= 31 and luhn(digits[-10:])
+    if len(digits) == 15:
+        return mod97(digits)
+    if len(digits) == 11:
+        most = max(map(digits[:10].count, "0123456789"))
+        return digits[0] != "0" and 2 <= most <= 3 and mod11_10(digits)
+    if re.fullmatch(r"\d{3}[- ]\d{2}[- ]\d{4}", text):  # no checksum, but numbers that are never given out
+        return s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000"
+    return None
+
+
+def checked(text: str) -> bool:
+    return check(text) is True
 
 
 def _near(text: str, hints: tuple[str, ...], back: int, ahead: int) -> list[tuple[int, int]]:
@@ -158,19 +211,32 @@ def _numbers(text: str, out: list) -> None:
         _numbers_in(text, a, b, out)
 
 
+def _score(holds: bool | None, label: bool, near: bool, veto: bool) -> float:
+    check_part = 0.0 if holds is None else HOLDS if holds else FAILS
+    return SHAPE + check_part + (LABEL if label else LABEL_NEAR if near else 0.0) + VETO * veto
+
+
 def _numbers_in(text: str, start: int, stop: int, out: list) -> None:
     for m in NUMBER.finditer(text, start, stop):
         a, b = m.span()
-        before = text[max(0, a - 48) : a]
+        before = text[max(0, a - NEAR[0]) : a]
+        veto = bool(NOT_PERSONAL.search(before))
         if m["id"]:
-            score = 0.2 + 0.2 * checked(m[0]) + 0.6 * bool(ID_WORDS.search(before)) - 0.6 * bool(NOT_PERSONAL.search(before))
-            out.append(("id_number", a, b, score))
+            holds = check(m[0])
+            label = bool(ID_WORDS.search(before))
+            near = not label and holds is not False and bool(ID_NEAR.search(before) or ID_AFTER.match(text[b : b + NEAR[1]]))
+            out.append(("id_number", a, b, _score(holds, label, near, veto)))
             if not re.fullmatch(r"0\d(?: \d\d){4}", m[0]):
                 continue
         n = sum(c.isdigit() for c in m[0])
         score = (0.7 if m["intl"] else 0.6) if 9 <= n <= 15 else 0.3
-        score += 0.2 * bool(PHONE_WORDS.search(before)) - 0.8 * bool(NOT_PERSONAL.search(before)) - 0.6 * bool(re.search(r"\d to $", before))
+        score += 0.2 * bool(PHONE_WORDS.search(before)) - 0.8 * veto - 0.6 * bool(re.search(r"\d to $", before))
         out.append(("phone", a, b, score))
+    if sum(map(str.isdigit, text[start:stop])) >= 10:
+        for kind, pattern, words, holds in (("card", CARD, CARD_WORDS, card_holds), ("iban", IBAN, IBAN_WORDS, iban_holds)):
+            for m in pattern.finditer(text, max(0, start - 12) if kind == "iban" else start, min(len(text), stop + 30)):
+                before = text[max(0, m.start() - NEAR[0]) : m.start()]
+                out.append((kind, *m.span(), _score(holds(m[0]), bool(words.search(before)), False, bool(NOT_PERSONAL.search(before)))))
 
 
 def _addresses(text: str, out: list) -> None:
@@ -203,7 +269,7 @@ def _names(text: str, out: list) -> None:
         words = _CAPS.findall(m[0])
         if words[0] in FUNCTION_WORDS:  # a sentence's or phrase's first word: the name may start after it
             continue
-        before, after = text[max(0, a - 90) : a], text[b : b + 60]
+        before, after = text[max(0, a - NEAR_NAME[0]) : a], text[b : b + NEAR_NAME[1]]
         if OF_FILE.search(before) and (p := _PREPOSITION.match(m[0])):  # "the file of Surname, Given": no particle
             a += p.end()
             before += p[0]
@@ -217,7 +283,11 @@ def _names(text: str, out: list) -> None:
         score = 0.2 if m["inverted"] else 0.6
         score -= 0.4 * bool(_BREAK.search(before)) * (not m["inverted"])
         cues = bool(NAME_BEFORE.search(before) or NAME_ABOVE.search(before)) + bool(NAME_AFTER.search(after))
+        if not cues and m["full"] and _DOES.match(after) and not any(w in FUNCTION_WORDS or _NOUN.search(w) or len(w) > 2 and re.search(rf"\b{w.lower()}\b", text) for w in words):
+            cues = 1  # nothing but its shape and what follows: no noun's ending, and never written small in this text
         score += 0.2 * bool(re.search(_INIT, m[0])) + 0.4 * cues
+        if not cues and m["full"] and any(_NOUN.search(w) for w in words):
+            score -= 0.3
         if not cues and m["full"] and _PLAIN_PARTICLE.search(m[0]):  # "Mobility of Engineers" in another language
             score -= 0.3
         if score >= THRESHOLD:
@@ -228,7 +298,7 @@ def _names(text: str, out: list) -> None:
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """``(kind, start, end, score)`` of the kept spans in order; offsets in code points."""
     proposed: list[tuple[str, int, int, float]] = []
-    for a, b in _near(text, _AT_HINTS, 80, 160):
+    for a, b in _near(text, _AT_HINTS, *NEAR_AT):
         proposed += [("email", *m.span(), 0.9) for m in EMAIL.finditer(text, a, b)]
     _numbers(text, proposed)
     _addresses(text, proposed)
@@ -261,7 +331,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def redact(docs: DataFrame, text_col: str = "text", out_col: str = "redacted") -> DataFrame:
     """The rows with a column in which every item is replaced by ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``,
-    ``[ADDRESS]`` or ``[NAME]``. Null stays null. An existing column of that name is replaced."""
+    ``[CARD]``, ``[IBAN]``, ``[ADDRESS]`` or ``[NAME]``. Null stays null. An existing column of that name is replaced."""
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:

@@ -131,9 +131,13 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(chunks.withColumn("_n", first).filter("_n = 1"))
 
 
+ASKED = ("email", "phone", "id_number", "address", "name")
+
+
 @llm.query("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_personal(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "kind", "char_start").distinct()
+    found = find_personal(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.filter(F.col("kind").isin(*ASKED)).select("doc_id", "kind", "char_start").distinct()
 
 
 @llm.query("p9_redacted")
