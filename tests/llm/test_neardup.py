@@ -50,8 +50,7 @@ def test_every_pair_and_no_other(spark):
     assert run(spark, rows) == want and len(want) > 100
 
 
-@pytest.mark.parametrize("levels", [1, 2, 3])
-def test_crowded_nodes_lose_nothing(spark, levels):
+def test_crowded_nodes_lose_nothing(spark):
     base = corpus(2, 1, 1)[0][2].split()
     rng = random.Random(3)
     rows = []
@@ -59,7 +58,48 @@ def test_crowded_nodes_lose_nothing(spark, levels):
         t = list(base)
         t[rng.randrange(len(t))] = f"x{rng.randrange(40)}"
         rows.append((f"c{i:03}", f"g{i % 5}", " ".join(t)))
-    assert run(spark, rows, node_limit=20, levels=levels) == brute(rows, 3, 0.7)
+    for limit in (20, 60):  # nodes, and some of the lists that replace them, go over the limit
+        assert run(spark, rows, node_limit=limit) == brute(rows, 3, 0.7)
+
+
+def test_texts_with_much_in_common_that_are_no_duplicates(spark):
+    rng = random.Random(11)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for i in range(90):  # two thirds are the same everywhere; pairs of neighbours share the rest as well
+        own = random.Random(i // 2)
+        rows.append((f"c{i:03}", f"g{i % 7}", " ".join(shared + [f"o{own.randrange(10**6)}" for _ in range(40)] + [f"x{rng.randrange(10**6)}"])))
+    want = brute(rows, 3, 0.7)
+    assert run(spark, rows, node_limit=10) == want and 30 < len(want) < 60
+
+
+def test_each_pair_of_a_long_list_is_compared_once(spark):
+    from pyspark.sql import functions as F
+
+    lists = spark.range(70).select(F.lit(5).cast("long").alias("node"), F.col("id").cast("string").cast("binary").alias("set_id"), F.lit(9).alias("n"), F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"), F.lit(70).cast("long").alias("size"))
+    once = F.when(F.col("diagonal_a"), F.col("own_a") == F.col("own_b")).otherwise(F.col("own_a") != F.col("own_b"))
+    pairs = neardup._meet(neardup._in_cells(lists, 20), 0.7, once)
+    assert pairs.count() == pairs.distinct().count() == 70 * 69 // 2
+
+
+def test_prefixes_are_shortened_until_the_target(spark):
+    df = spark.createDataFrame(corpus(12), "chunk_id string, paper_id string, text string")
+    far = neardup.search(df, "chunk_id", "text", shingle=3, threshold=0.7, target=0.5)
+    whole = neardup.search(df, "chunk_id", "text", shingle=3, threshold=0.7, target=1.0)
+    floor = neardup.depth_for(0.7, 0.999)
+    assert far.depth > whole.depth == floor and 0.5 <= far.recall <= whole.recall
+    assert far.pairs.count() < whole.pairs.count()
+
+
+def test_crowded_nodes_at_the_default_limit(spark):
+    base = corpus(4, 1, 1)[0][2].split()
+    rng = random.Random(5)
+    rows = []
+    for i in range(2300):  # variants of one template, far enough apart that few pairs are duplicates
+        t = [f"v{rng.randrange(10**6)}" if rng.random() < 0.06 else w for w in base]
+        rows.append((f"c{i:04}", f"g{i % 5}", " ".join(t)))
+    got, want = run(spark, rows), brute(rows, 3, 0.7)
+    assert len(want) > 10_000 and got <= want and len(got) / len(want) > 0.999
 
 
 def test_empty_table(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.consensus import agreement, consensus, latest_votes
 from vellumine.llm.mixing import mix, shares_reached
-from vellumine.llm.neardup import document_pairs, groups, near_duplicates
+from vellumine.llm.neardup import document_pairs, groups, near_duplicates, search
 from vellumine.llm.packing import pack, window_shares
 from vellumine.llm.pii import find_personal, redact
 from vellumine.llm.scans import find_noise, paper_paragraphs, scan_units
@@ -33,6 +33,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_pairs(pairs, members, coarse, "chunk_id", "paper_id").toDF("chunk_id_a", "chunk_id_b")
 
 
+@llm.query("p3_recall")
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far prefixes were shortened, and the recall that is estimated from the pairs found."""
+    found = search(_coarse(spark, sf_dir), "chunk_id", "text", shingle=3, threshold=0.7)
+    return found.pairs.agg(F.count("*").alias("n_pairs")).select("n_pairs", F.lit(found.trees).alias("trees"), F.lit(found.depth).alias("depth"), F.lit(found.recall).alias("estimated_recall"))
+
+
 @llm.query("p3_groups")
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per coarse chunk: its group, its copies and its links."""
