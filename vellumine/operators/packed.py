@@ -6,6 +6,11 @@ corpus, plus the bits for its separators and its dialect; the cheapest parse win
 second-order Markov chain over atom classes (capitalised word, initial, particle, scheme, digits,
 each punctuation mark), so its size is bounded by the alphabet, not by the data: at most
 ``len(ALPHABET) ** 3`` counts per field. Counts are summed inside each task, then across tasks.
+
+How a field is parsed and what its values cost depend on its form alone: which words are
+capitalised, suffixes, conjunctions or schemes, its marks and its blanks. Fields are therefore counted
+by form first, the code is learned from the forms with their numbers, and a task scores each form
+once; only the chosen dialect is then applied to the field as written.
 """
 
 from __future__ import annotations
@@ -17,9 +22,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.session import cut
+
 # Name suffixes that belong to the name before them, and list conjunctions.
 SUFFIXES = ("Jr", "Sr", "II", "III", "IV", "PhD", "MD")
 CONJUNCTIONS = ("and", "und", "et", "y")
@@ -44,6 +51,7 @@ DELIMITERS = {
     "backslash": r"\\",
     "blank": r"\s+",
 }
+_BY_NAME = {name: re.compile(p) for name, p in DELIMITERS.items()}
 _EMPTY = "|;,/\\\"'[]<>& \t\r\n"
 QUOTES = ("none", "doubled", "escaped")
 _TRIED = [(name, re.compile(p), quote) for name, p in DELIMITERS.items() for quote in QUOTES]
@@ -133,12 +141,24 @@ def parses(text: str) -> dict[tuple[str, ...], tuple[str, float]]:
     return out
 
 
-def _tally(counts: Counter, field: str, items: tuple[str, ...], weight: float) -> None:
-    for x in items:
+def form(value: Column) -> Column:
+    """The field with each word and number replaced by one of its kind; fields with quotes, brackets or escapes stay as they are."""
+    kept = "|".join((*SUFFIXES, *CONJUNCTIONS))
+    word = rf"(?<!\p{{L}})(?!(?:{kept}|https?(?=://))(?!\p{{L}}))"
+    out = F.regexp_replace(value, rf"{word}\p{{Lu}}\p{{L}}+", "Xx")
+    out = F.regexp_replace(out, rf"{word}[\p{{Ll}}\p{{Lo}}\p{{Lt}}\p{{Lm}}]\p{{L}}+", "xx")
+    return F.when(value.rlike(r'["\[<\\]'), value).otherwise(F.regexp_replace(out, r"\d+", "0"))
+
+
+def _trigrams(values: Counter) -> Counter:
+    """What the chain counts of values ``(field, value): weight``."""
+    counts: Counter = Counter()
+    for (field, value), weight in values.items():
         a, b = START, START
-        for c in (*atoms(x), END):
+        for c in (*atoms(value), END):
             counts[field, a, b, c] += weight
             a, b = b, c
+    return counts
 
 
 class ValueCode:
@@ -152,8 +172,17 @@ class ValueCode:
             self.one[field, b, c] += n
             self.over[field, b] += n
         self.known: dict[tuple, float] = {}
+        self.values: dict[tuple[str, str], float] = {}
 
     def bits(self, field: str, value: str) -> float:
+        got = self.values.get((field, value))
+        if got is None:
+            if len(self.values) > _KEPT:
+                self.values.clear()
+            got = self.values[field, value] = self._bits(field, value)
+        return got
+
+    def _bits(self, field: str, value: str) -> float:
         total, a, b = 0.0, START, START
         for c in (*atoms(value), END):
             key = (field, a, b, c)
@@ -171,30 +200,49 @@ def cheapest(text: str, field: str, code: ValueCode) -> tuple[tuple[str, ...], s
     return (best[3], best[2]) if best else ((), "none")
 
 
+_KEPT = 500_000  # values and forms that a task remembers the result of; a speed setting
 _COUNTS = "field_name string, a string, b string, c string, n double"
 
 
-def _learn(fields: DataFrame, code: ValueCode | None) -> ValueCode:
+def _learn(forms: DataFrame, code: ValueCode | None) -> ValueCode:
     """Counts over all fields, of every parse in equal shares or, with a code, of the cheapest one."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        values: Counter = Counter()
         counts: Counter = Counter()
         for batch in batches:
-            for field, text in zip(batch["field_name"], batch["value"]):
+            for field, text, n in zip(batch["field_name"], batch["form"], batch["n"]):
                 if code is None:
                     found = parses(text)
                     for items, (name, _) in found.items():
                         if name != "whole" or len(found) == 1:  # a text that some dialect splits teaches nothing unsplit
-                            _tally(counts, field, items, 1.0 / len(found) ** 2)  # clear-cut fields teach more
+                            for x in items:
+                                values[field, x] += n / len(found) ** 2  # clear-cut fields teach more
                 else:
-                    _tally(counts, field, cheapest(text, field, code)[0], 1.0)
+                    for x in cheapest(text, field, code)[0]:
+                        values[field, x] += n
+            if len(values) > _KEPT:
+                counts.update(_trigrams(values))
+                values.clear()
+        counts.update(_trigrams(values))
         yield pd.DataFrame([(*k, v) for k, v in counts.items()], columns=["field_name", "a", "b", "c", "n"])
 
     # at most len(ALPHABET) ** 3 rows per field, whatever the input's size
-    total = fields.mapInPandas(count, _COUNTS).groupBy("field_name", "a", "b", "c").agg(F.sum("n").alias("n"))
+    total = forms.mapInPandas(count, _COUNTS).groupBy("field_name", "a", "b", "c").agg(F.sum("n").alias("n"))
     return ValueCode([tuple(r) for r in total.collect()])
 
 
+def parsed_as(text: str, name: str) -> tuple[str, ...] | None:
+    """The text's parse under a dialect by its name; None where it does not fit."""
+    if name == "whole":
+        return (text.strip(),)
+    if name in ("json", "angle"):
+        return next((items for items, (found, _) in parses(text).items() if found == name), None)
+    base, _, quote = name.partition(", ")
+    items = _split(text, _BY_NAME[base], quote or "none")
+    return None if items is None else tuple(x for x in (x.strip() for x in items) if x)
+
+
 def split_packed(rows: DataFrame, key: str, fields: list[str], rounds: int = 3) -> DataFrame:
     """``(key, field_name, pos, item, dialect)``: one row per value packed in ``fields`` of ``rows``.
 
@@ -205,17 +253,28 @@ def split_packed(rows: DataFrame, key: str, fields: list[str], rounds: int = 3)
     """
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])
     long = rows.select(F.col(key).alias("_key"), F.inline(pairs)).filter("value is not null and trim(value) <> ''").distinct()
+    forms = cut(long.groupBy("field_name", form(F.col("value")).alias("form")).agg(F.count("*").alias("n")))
     code = None
     for _ in range(rounds):
-        code = _learn(long.select("field_name", "value"), code)
+        code = _learn(forms, code)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chosen: dict[tuple[str, str], str] = {}
         for batch in batches:
-            found = [cheapest(text, field, code) for field, text in zip(batch["field_name"], batch["value"])]
-            batch["dialect"] = [d for _, d in found]
-            batch["items"] = [list(i) for i, _ in found]
-            yield batch[["_key", "field_name", "dialect", "items"]]
+            dialects, items = [], []
+            for text, field, shape in zip(batch["value"], batch["field_name"], batch["form"]):
+                name = chosen.get((field, shape))
+                if name is None:
+                    if len(chosen) > _KEPT:
+                        chosen.clear()
+                    name = chosen[field, shape] = cheapest(shape, field, code)[1]
+                found = () if name == "none" else parsed_as(text, name)
+                if found is None:
+                    found, name = cheapest(text, field, code)
+                dialects.append(name)
+                items.append(list(found))
+            yield batch[["_key", "field_name"]].assign(dialect=dialects, items=items)
 
     kind = rows.schema[key].dataType.simpleString()
-    out = long.mapInPandas(emit, f"_key {kind}, field_name string, dialect string, items array<string>")
+    out = long.withColumn("form", form(F.col("value"))).mapInPandas(emit, f"_key {kind}, field_name string, dialect string, items array<string>")
     return out.select(F.col("_key").alias(key), "field_name", F.posexplode("items").alias("pos", "item"), "dialect")
