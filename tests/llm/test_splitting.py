@@ -39,3 +39,17 @@ def test_rows(spark):
     assert split_oversized(df.limit(0), F.lit(40), F.lit(8)).count() == 0
     assert split_oversized(df, F.lit(None).cast("int"), F.lit(0)).count() == 5
     assert split_oversized(df.filter("chunk_id = 'e'"), F.lit(40), F.lit(99)).count() > 2500
+
+
+def test_time_grows_with_the_length(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("x", "a few words of text; " * (n // 21), ["h"], 5, None)], "chunk_id string, text string, section_hierarchy array<string>, char_start int, overlap_with_previous boolean")
+        began = time.perf_counter()
+        out = split_oversized(df, F.lit(450), F.lit(50)).agg(F.sum(F.length("text")).alias("n"), F.max("char_end").alias("end")).first()
+        assert out.end == 5 + n // 21 * 21 and out.n > n // 21 * 21
+        return time.perf_counter() - began
+
+    seconds(500_000)
+    assert seconds(8_000_000) < 24 * max(0.5, seconds(500_000))

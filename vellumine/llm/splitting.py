@@ -3,7 +3,8 @@
 The tokens' sizes are summed to offsets once per text; boundaries are sorted arrays of offsets,
 one per kind (paragraph, line, sentence, clause, word). The end of a piece is the last boundary
 within the limit, found by binary search in the best kind that has one in the later half of the
-piece, then in any; without one the cut is hard. The next piece starts ``overlap`` before that end,
+piece, then in any; without one the cut is hard. A text costs time in proportion to its length: each
+piece leaves with its own text only. The next piece starts ``overlap`` before that end,
 moved to the next word's start where there is one. Texts within the limit never leave the JVM.
 """
 
@@ -53,7 +54,7 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
-_PIECE = "piece int, n_pieces int, piece_start int, piece_end int, piece_text string"
+_BATCH = 8_000_000  # characters of pieces that are handed on at once
 
 
 def split_oversized(
@@ -88,21 +89,23 @@ def split_oversized(
     fit = rows.filter(~over).select("id", "h", "s", "f", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), F.lit(0).alias("a"), F.length("t").alias("b"), F.lit(0).alias("before"), F.col("t").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["id", "h", "s", "f", "piece", "n_pieces", "a", "b", "before", "text"]
+        out, size = [], 0
         for b in batches:
-            b["cuts"] = [
-                [x for piece in cut_points(t, max(1, lim), min(max(0, lap), max(1, lim) - 1)) for x in piece]
-                for t, lim, lap in zip(b["t"], b["lim"], b["lap"].fillna(0).astype(int))
-            ]
-            yield b[["id", "h", "s", "f", "t", "cuts"]]
+            for i, h, s, f, t, lim, lap in zip(b["id"], b["h"], b["s"], b["f"], b["t"], b["lim"], b["lap"].fillna(0).astype(int)):
+                cuts = cut_points(t, max(1, lim), min(max(0, lap), max(1, lim) - 1))
+                before = 0
+                for piece, (x, y) in enumerate(cuts):  # each piece with its own text only
+                    out.append((i, h, s, f, piece, len(cuts), x, y, before, t[x:y]))
+                    before, size = y, size + y - x
+                    if size > _BATCH:
+                        yield pd.DataFrame(out, columns=columns).astype({"s": "Int64"})
+                        out, size = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=columns).astype({"s": "Int64"})
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "h", "s", "f")}
-    cuts = rows.filter(over).mapInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", t string, cuts array<int>")
-    cuts = cuts.withColumn("piece", F.explode(F.sequence(F.lit(0), (F.size("cuts") / 2).cast("int") - 1)))
-    at = lambda i: F.get("cuts", i)
-    cuts = cuts.select(
-        "id", "h", "s", "f", "piece", (F.size("cuts") / 2).cast("int").alias("n_pieces"),
-        at(F.col("piece") * 2).alias("a"), at(F.col("piece") * 2 + 1).alias("b"), F.coalesce(at(F.col("piece") * 2 - 1), F.lit(0)).alias("before"), "t",
-    ).withColumn("text", F.col("t").substr(F.col("a") + 1, F.col("b") - F.col("a"))).drop("t")
+    cuts = rows.filter(over).mapInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", piece int, n_pieces int, a int, b int, before int, text string")
     return fit.unionByName(cuts).select(
         F.col("id").alias(id_col),
         "piece",
