@@ -130,8 +130,9 @@ def chunk_recursive(spark, sf_dir):
     return K.chunk_rows(_docs(spark, sf_dir), K.recursive_chunks(F.col("text")))
 
 
-@chunking.query("chunk_both", _COARSE + f", f AS (SELECT {_OUT.replace('overlap_with_previous', 'chunk_index > 0 AS overlap_with_previous')} FROM coarse) SELECT doc_id, printf('%d_coarse_%04d', doc_id, chunk_index) AS chunk_id, length(text)::INTEGER AS n_chars FROM f")
+@chunking.query("chunk_both", f"SELECT doc_id, printf('%d_coarse_%04d', doc_id, chunk_index) AS chunk_id, length(text)::INTEGER AS n_chars FROM ({chunking.sql['chunk_coarse']}) UNION ALL SELECT doc_id, printf('%d_fine_%04d', doc_id, chunk_index), length(text)::INTEGER FROM ({chunking.sql['chunk_fine']})")
 def chunk_both(spark, sf_dir):
-    """Chunk ids as the chunk files name them."""
-    c = K.coarse_chunks(_docs(spark, sf_dir))
-    return c.select("doc_id", F.format_string("%d_coarse_%04d", "doc_id", "chunk_index").alias("chunk_id"), F.length("text").alias("n_chars"))
+    """Both sizes of chunks, under the ids that the chunk files give them."""
+    docs = _docs(spark, sf_dir)
+    named = lambda df, kind: df.select("doc_id", F.format_string(f"%d_{kind}_%04d", "doc_id", "chunk_index").alias("chunk_id"), F.length("text").alias("n_chars"))
+    return named(K.coarse_chunks(docs), "coarse").unionByName(named(K.fine_chunks(docs), "fine"))

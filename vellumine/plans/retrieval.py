@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellumine.functions.numbering import with_row_number
@@ -96,15 +97,20 @@ def embed_hash(spark, sf_dir):
     return docs.select("doc_id", R.hash_embedding(F.col("text")).alias("embedding"))
 
 
-_PICK = """one AS (SELECT DISTINCT ON (chunk_id) chunk_id, paper_id, chunk_type, chunk_index, paper_title, section_hierarchy, text FROM chunks ORDER BY chunk_id, ingested_at),
-hit AS (SELECT *, (chunk_index % 3)::BIGINT AS rank, round(1 - chunk_index * 0.01, 4) AS score FROM one WHERE chunk_type = 'coarse' AND chunk_index < 3 AND section_hierarchy IS NOT NULL AND paper_title IS NOT NULL)"""
+_PICK = """one AS (SELECT DISTINCT ON (chunk_id) chunk_id, paper_id, chunk_type, chunk_index, coalesce(paper_title, 'Unknown') AS paper_title, coalesce(section_hierarchy, []) AS section_hierarchy, coalesce(text, '') AS text FROM chunks ORDER BY chunk_id, ingested_at),
+hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY length(text) DESC, chunk_id) - 1 AS rank, round(length(text) / (length(text) + 1000), 4) AS score FROM one WHERE chunk_type = 'coarse') WHERE rank < 10)"""
+
+
+def _ones(spark, sf_dir):
+    first = F.min_by(F.struct("paper_id", "chunk_type", "chunk_index", F.coalesce("paper_title", F.lit("Unknown")).alias("paper_title"), F.coalesce("section_hierarchy", F.array().cast("array<string>")).alias("section_hierarchy"), F.coalesce("text", F.lit("")).alias("text")), "ingested_at")
+    return table(spark, sf_dir, "chunks").groupBy("chunk_id").agg(first.alias("c")).select("chunk_id", "c.*")
 
 
 def _picked(spark, sf_dir):
-    """The first chunks of each paper, standing for hits: the paper is the query."""
-    one = table(spark, sf_dir, "chunks").groupBy("chunk_id").agg(F.min_by(F.struct("paper_id", "chunk_type", "chunk_index", "paper_title", "section_hierarchy", "text"), "ingested_at").alias("c")).select("chunk_id", "c.*")
-    hit = one.filter("chunk_type = 'coarse' and chunk_index < 3 and section_hierarchy is not null and paper_title is not null")
-    return one, hit.withColumn("rank", (F.col("chunk_index") % 3).cast("long")).withColumn("score", F.round(1 - F.col("chunk_index") * 0.01, 4))
+    """The top ten of all coarse chunks of each paper by length, standing for its hits: the paper is the query."""
+    hit = _ones(spark, sf_dir).filter("chunk_type = 'coarse'").withColumn("score", F.round(F.length("text") / (F.length("text") + 1000), 4))
+    order = Window.partitionBy("paper_id").orderBy(F.length("text").desc(), "chunk_id")
+    return hit.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).filter("rank < 10")
 
 
 @retrieval.query(
@@ -113,21 +119,22 @@ def _picked(spark, sf_dir):
 || '**Relevance Score**: ' || printf('%.2f%%', score * 100) || chr(10) || chr(10) || text || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS prompt FROM hit GROUP BY paper_id""",
 )
 def prompt_block(spark, sf_dir):
-    return R.prompt_block(_picked(spark, sf_dir)[1], "paper_id")
+    return R.prompt_block(_picked(spark, sf_dir), "paper_id")
 
 
 @retrieval.query("citation_cards", f"WITH {_PICK} SELECT paper_id, left(string_split(paper_title, chr(10))[1], 100) AS title, left(text, 150) || '...' AS snippet FROM hit QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY rank) = 1")
 def citation_cards(spark, sf_dir):
-    first = R.first_per_group(_picked(spark, sf_dir)[1], "paper_title", "paper_id")
+    first = R.first_per_group(_picked(spark, sf_dir), "paper_title", "paper_id")
     first = first.groupBy("paper_id").agg(F.min_by(F.struct("paper_title", "text"), "rank").alias("f"))
     title, snippet = R.citation_card(F.col("f.paper_title"), F.col("f.text"))
     return first.select("paper_id", title.alias("title"), snippet.alias("snippet"))
 
 
-@retrieval.query("neighbour_context", f"WITH {_PICK} SELECT h.chunk_id AS hit_id, o.chunk_id FROM hit h JOIN one o ON h.paper_id = o.paper_id AND h.chunk_type = o.chunk_type AND abs(h.chunk_index - o.chunk_index) <= 1")
+@retrieval.query("neighbour_context", f"WITH {_PICK} SELECT h.chunk_id AS hit_id, o.chunk_id FROM one h JOIN one o ON h.paper_id = o.paper_id AND h.chunk_type = o.chunk_type AND abs(h.chunk_index - o.chunk_index) <= 1")
 def neighbour_context(spark, sf_dir):
-    one, hit = _picked(spark, sf_dir)
-    return R.neighbours(one, hit.withColumnRenamed("chunk_id", "hit_id"), 1).select("hit_id", "chunk_id")
+    """Every chunk with those beside it."""
+    one = _ones(spark, sf_dir)
+    return R.neighbours(one, one.withColumnRenamed("chunk_id", "hit_id"), 1).select("hit_id", "chunk_id")
 
 
 # ---- evaluation -----------------------------------------------------------------------------

@@ -45,16 +45,19 @@ def box_deoverlap(spark, sf_dir):
     return rows.select("z.element_id", "z.b.*")
 
 
-_ANSWER = """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '## Executive Summary' || chr(10) || '- ' || replace(left(text, 200), chr(10), chr(10) || '- ') || chr(10) || '## Detailed Analysis' || chr(10) || '### First' || chr(10) || right(text, 50) || chr(10) || '### Empty' || chr(10) || '## Key References' || chr(10) || 'x'
-WHEN 1 THEN 'Executive Summary ' || left(text, 80) || ' Detailed Analysis ' || right(text, 80) ELSE text END AS answer FROM documents"""
+_ANSWER = """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '## Executive Summary' || chr(10) || '- ' || replace(a, chr(10), chr(10) || '- ') || chr(10) || '## Detailed Analysis' || chr(10) || '### First' || chr(10) || b || chr(10) || '### Empty' || chr(10) || '## Key References' || chr(10) || 'x'
+WHEN 1 THEN 'Executive Summary ' || a || ' Detailed Analysis ' || b ELSE '## Executive Summary' || chr(10) || a || chr(10) || '## Detailed Analysis' || chr(10) || b END AS answer FROM (SELECT doc_id, left(text, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b FROM documents)"""
 
 
 def _answers(spark, sf_dir):
+    """Each document's whole text as an answer in two sections, in three layouts."""
     t, nl = F.col("text"), F.lit("\n")
-    full = F.concat(F.lit("## Executive Summary\n- "), F.replace(F.left(t, F.lit(200)), nl, F.lit("\n- ")), F.lit("\n## Detailed Analysis\n### First\n"), F.right(t, F.lit(50)), F.lit("\n### Empty\n## Key References\nx"))
-    plain = F.concat(F.lit("Executive Summary "), F.left(t, F.lit(80)), F.lit(" Detailed Analysis "), F.right(t, F.lit(80)))
+    half = F.floor(F.length(t) / 2).cast("int")
+    a, b = F.left(t, half), t.substr(half + 1, F.length(t))
+    full = F.concat(F.lit("## Executive Summary\n- "), F.replace(a, nl, F.lit("\n- ")), F.lit("\n## Detailed Analysis\n### First\n"), b, F.lit("\n### Empty\n## Key References\nx"))
+    plain = F.concat(F.lit("Executive Summary "), a, F.lit(" Detailed Analysis "), b)
     m = F.col("doc_id") % 3
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(m == 0, full).when(m == 1, plain).otherwise(t).alias("answer"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(m == 0, full).when(m == 1, plain).otherwise(F.concat(F.lit("## Executive Summary\n"), a, F.lit("\n## Detailed Analysis\n"), b)).alias("answer"))
 
 
 @service.query(

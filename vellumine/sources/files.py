@@ -101,6 +101,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return vectors.join(meta, "row_id")
 
 
+def read_results(spark: SparkSession, path: str, configs: Iterable[str], schema: str) -> DataFrame:
+    """The results of the configurations whose file ``<config>.json`` is there; none gives no rows."""
+    there = [f"{path}/{c}.json" for c in configs if exists(spark, f"{path}/{c}.json")]
+    return spark.read.schema(schema).option("multiLine", True).json(there) if there else spark.createDataFrame([], schema)
+
+
 # ---- writers --------------------------------------------------------------------------------
 def write_typed(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:
     df.write.mode("overwrite").option("compression", "snappy").partitionBy(*partition_by).parquet(path)
