@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.session import cut
+from vellumine.sources.tables import spread
 
 # Name suffixes that belong to the name before them, and list conjunctions.
 SUFFIXES = ("Jr", "Sr", "II", "III", "IV", "PhD", "MD")
@@ -52,6 +53,11 @@ DELIMITERS = {
     "blank": r"\s+",
 }
 _BY_NAME = {name: re.compile(p) for name, p in DELIMITERS.items()}
+#: Of each group of signs a text must have one, for the dialect to differ from the plainer ones.
+_NEEDS = {
+    "pipe": ("|",), "double pipe": (("||",),), "semicolon": (";",), "semicolon blank": (";",), "comma": (",",), "comma blank": (",",), "prose": ((*CONJUNCTIONS, "&"),), "pipe or semicolon": ("|", ";"), "pipe or comma": ("|", ","),
+    "semicolon or comma": (";", ","), "tab": ("\t",), "newline": ("\n",), "slash": ("/",), "backslash": ("\\",), "blank": (),
+}
 _EMPTY = "|;,/\\\"'[]<>& \t\r\n"
 QUOTES = ("none", "doubled", "escaped")
 _TRIED = [(name, re.compile(p), quote) for name, p in DELIMITERS.items() for quote in QUOTES]
@@ -133,6 +139,8 @@ def parses(text: str) -> dict[tuple[str, ...], tuple[str, float]]:
     if s[:1] == "<" and re.fullmatch(r"<[^<>]*>(?:[\s;,|]*<[^<>]*>)*[\s;,|]*", s):
         add(re.findall(r"<([^<>]*)>", s), "angle", 0.5)
     for name, delimiter, quote in _TRIED:
+        if not all(any(c in text for c in some) for some in _NEEDS[name]):
+            continue  # no such delimiter, or the same parse as under a plainer dialect
         if quote != "none" and '"' not in text or quote == "escaped" and "\\" not in text or quote == "none" and not delimiter.search(text):
             continue
         items = _split(text, delimiter, quote)
@@ -196,10 +204,30 @@ class ValueCode:
 
 def cheapest(text: str, field: str, code: ValueCode) -> tuple[tuple[str, ...], str]:
     """The parse of least description length; ties go to fewer items, then to the dialect's name."""
-    best = min(((sum(code.bits(field, x) for x in items) + extra, len(items), name, items) for items, (name, extra) in parses(text).items()), default=None)
+    return _least([(items, name, extra) for items, (name, extra) in parses(text).items()], field, code)
+
+
+def _least(found: list[tuple], field: str, code: ValueCode) -> tuple[tuple[str, ...], str]:
+    best = min(((sum(code.bits(field, x) for x in items) + extra, len(items), name, items) for items, name, extra in found), default=None)
     return (best[3], best[2]) if best else ((), "none")
 
 
+# a form's parses as one text, so that they are found once and read in every round
+_ITEM, _PART, _PARSE = "\x1f", "\x1e", "\x1d"
+
+
+def _written(text: str) -> str:
+    return _PARSE.join(_PART.join((name, repr(extra), _ITEM.join(items))) for items, (name, extra) in parses(text).items())
+
+
+def _read(parsed: str) -> list[tuple]:
+    out = []
+    for one in parsed.split(_PARSE) if parsed else ():
+        name, extra, items = one.split(_PART)
+        out.append((tuple(items.split(_ITEM)), name, float(extra)))
+    return out
+
+
 _KEPT = 500_000  # values and forms that a task remembers the result of; a speed setting
 _COUNTS = "field_name string, a string, b string, c string, n double"
 
@@ -211,15 +239,15 @@ def _learn(forms: DataFrame, code: ValueCode | None) -> ValueCode:
         values: Counter = Counter()
         counts: Counter = Counter()
         for batch in batches:
-            for field, text, n in zip(batch["field_name"], batch["form"], batch["n"]):
+            for field, parsed, n in zip(batch["field_name"], batch["parsed"], batch["n"]):
+                found = _read(parsed)
                 if code is None:
-                    found = parses(text)
-                    for items, (name, _) in found.items():
+                    for items, name, _ in found:
                         if name != "whole" or len(found) == 1:  # a text that some dialect splits teaches nothing unsplit
                             for x in items:
                                 values[field, x] += n / len(found) ** 2  # clear-cut fields teach more
                 else:
-                    for x in cheapest(text, field, code)[0]:
+                    for x in _least(found, field, code)[0]:
                         values[field, x] += n
             if len(values) > _KEPT:
                 counts.update(_trigrams(values))
@@ -253,7 +281,13 @@ def split_packed(rows: DataFrame, key: str, fields: list[str], rounds: int = 3)
     """
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])
     long = rows.select(F.col(key).alias("_key"), F.inline(pairs)).filter("value is not null and trim(value) <> ''").distinct()
-    forms = cut(long.groupBy("field_name", form(F.col("value")).alias("form")).agg(F.count("*").alias("n")))
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(parsed=[_written(x) for x in batch["form"]])[["field_name", "parsed", "n"]]
+
+    clean = F.translate(form(F.col("value")), _ITEM + _PART + _PARSE, "   ")
+    counted = long.groupBy("field_name", clean.alias("form")).agg(F.count("*").alias("n"))
+    forms = cut(spread(counted).mapInPandas(parse, "field_name string, parsed string, n long"))
     code = None
     for _ in range(rounds):
         code = _learn(forms, code)
