@@ -1,10 +1,13 @@
 import datetime as d
+import io
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vellumine.__main__ import main
 from vellumine.sources import files as S
+from vellumine.sources.ranges import escaped_at, members_from, scan
 from vellumine.streaming import incremental
 
 
@@ -69,3 +72,35 @@ def test_command_line(spark, tmp_path, capsys):
     docs.write.parquet(str(tmp_path / "docs"))
     assert main(["chunk", str(tmp_path / "docs"), str(tmp_path / "chunks")]) == 0 and spark.read.parquet(str(tmp_path / "chunks")).count() == 2
     assert main(["nothing"]) == 2 and main(["info"]) == 0 and "p1_found" in capsys.readouterr().out
+
+
+def test_an_object_is_read_in_ranges(spark, tmp_path):
+    texts = ['a "b", {c', "\\", '\\"', "x" * 300, "}{][,:", "é†\n\r\t", "", '"}', "\\" * 37 + '"', "last"]
+    chunks = {str(i): {"chunk_id": f"c{i}", "text": t, "section_hierarchy": ["s, {", '"'], "char_start": i} for i, t in enumerate(texts)}
+    (tmp_path / "lines.json").write_text(json.dumps(chunks, indent=1, ensure_ascii=False))
+    (tmp_path / "one.json").write_text(json.dumps(chunks))
+    for name in ("lines.json", "one.json"):
+        at = str(tmp_path / name)
+        data = (tmp_path / name).read_bytes()
+        file, n = pa.PythonFile(io.BytesIO(data), "r"), len(data)
+        for step in (1, 2, 3, 7, 64, 1000, n):
+            quoted, depth, members = False, 0, []
+            for start in range(0, n, step):
+                members += [json.loads(m) for m in members_from(file, start, min(start + step, n), n, quoted, depth)]
+                block = scan(data[start : start + step], escaped_at(file, start))
+                depth += block.depth(quoted)
+                quoted ^= len(block.quotes) % 2 == 1
+            assert members == [{k: c} for k, c in chunks.items()] and (quoted, depth) == (False, 0)
+        assert sorted(str(json.loads(r.member)) for r in S.object_members(spark, at, 500).collect()) == sorted(str({k: c}) for k, c in chunks.items())
+        rows = S.read_chunk_map(spark, at).orderBy("row_id").collect()
+        assert [(r.row_id, r.chunk_id, r.text, r.section_hierarchy, r.char_start) for r in rows] == [(i, f"c{i}", t, ["s, {", '"'], i) for i, t in enumerate(texts)]
+    for i, text in enumerate(("{}", "", '{"0": {"chunk_id": "c"}', '{"0": {"chunk_id": "c}}')):
+        (tmp_path / f"none{i}.json").write_text(text)
+        assert S.read_chunk_map(spark, str(tmp_path / f"none{i}.json")).count() == 0
+
+
+def test_no_task_holds_a_whole_map(spark, tmp_path):
+    (tmp_path / "m.json").write_text("{" + ",".join(f'"{i}":' + json.dumps({"chunk_id": f"c{i}", "text": "t" * 50_000}) for i in range(200)) + "}")
+    rows = S.read_chunk_map(spark, str(tmp_path / "m.json"))
+    per_task = [r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.sum(F.length("text")).alias("n")).collect()]
+    assert sum(per_task) == 10_000_000 and max(per_task) < 6_000_000

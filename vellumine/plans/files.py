@@ -25,9 +25,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
-def _first_ingested(spark, sf_dir):
+def _first_ingested(spark, sf_dir, kind=None):
+    """Each chunk as it was first ingested; of ``kind`` only, whose rows alone are sorted with their texts."""
     w = Window.partitionBy("chunk_id").orderBy("ingested_at")
-    return table(spark, sf_dir, "chunks").withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+    chunks = table(spark, sf_dir, "chunks")
+    if kind:
+        chunks = chunks.withColumns({c: F.when(F.col("chunk_type") == kind, F.col(c)) for c in ("text", "paper_title", "section_hierarchy")})
+    first = chunks.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+    return first.filter(F.col("chunk_type") == kind) if kind else first
 
 
 _ONE = "SELECT DISTINCT ON (chunk_id) * FROM chunks ORDER BY chunk_id, ingested_at"
@@ -52,7 +57,7 @@ def roundtrip_bare_chunk_files(spark, sf_dir):
 def roundtrip_chunk_map(spark, sf_dir):
     """The coarse chunks by their row in an index, written as one JSON object with text keys."""
     at = scratch(spark)
-    S.write_chunk_map(_first_ingested(spark, sf_dir).filter("chunk_type = 'coarse'"), at, "coarse_metadata.json")
+    S.write_chunk_map(_first_ingested(spark, sf_dir, "coarse"), at, "coarse_metadata.json")
     return S.read_chunk_map(spark, f"{at}/coarse_metadata.json").select("row_id", "chunk_id", "text")
 
 

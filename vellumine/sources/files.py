@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from vellumine.functions.numbering import with_row_number
 from vellumine.sources import schemas
+from vellumine.sources.ranges import escaped_at, members_from, scan
+
+RANGE_BYTES = 4 << 20  # of a file that is read in ranges
+MOST_TASKS = 1000  # that ranges are spread over; each reads its ranges one after the other
 
 
 def _name(pattern: str) -> Column:
@@ -50,19 +54,70 @@ def read_bare_chunk_files(spark: SparkSession, path: str, chunk_type: str | None
 
 def write_chunk_map(chunks: DataFrame, path: str, name: str) -> None:
     """One JSON object from row number to chunk: what an index calls its metadata."""
-    numbered = with_row_number(chunks, ["paper_id", "chunk_type", "chunk_index", "chunk_id"], "_row")
     fields = [c.split()[0] for c in schemas.CHUNK.split(", ")]
+    numbered = with_row_number(chunks.select(*fields), ["paper_id", "chunk_type", "chunk_index", "chunk_id"], "_row")
     item = F.concat(F.lit('"'), F.col("_row").cast("string"), F.lit('":'), F.to_json(F.struct(*fields)))
     write_arrays(numbered, path, F.lit(name), item, ["_row"], F.lit("{"), F.lit("}")).count()
 
 
 def read_chunk_map(spark: SparkSession, path: str) -> DataFrame:
-    """``(row_id, chunk fields)`` of such an object: keys are row numbers written as text."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, struct<{', '.join(c.replace(' ', ': ', 1) for c in schemas.CHUNK.split(', '))}>>").alias("m"))
-    rows = raw.select(F.explode("m").alias("k", "c"))
+    """``(row_id, chunk fields)`` of such an object: keys are row numbers written as text.
+
+    The object is read in byte ranges by many tasks, whatever its size and its line ends; see ``object_members``.
+    """
+    one = F.from_json("member", f"map<string, struct<{', '.join(c.replace(' ', ': ', 1) for c in schemas.CHUNK.split(', '))}>>").alias("m")
+    rows = object_members(spark, path).select(one).select(F.explode("m").alias("k", "c"))
     return rows.select(F.col("k").cast("long").alias("row_id"), "c.*")
 
 
+def object_members(spark: SparkSession, path: str, step: int = RANGE_BYTES) -> DataFrame:
+    """``(member)``: each member of the JSON object that a file holds, as an object of its own.
+
+    A first pass over ranges of ``step`` bytes tells how each one changes the depth, for a range that
+    begins inside a string and for one that does not; one small row per range gives the state at every range's
+    start. A second pass cuts the members out: a range gives those that begin in it and reads on to the end of its last one,
+    so a task holds one range and one member. A file that does not end its object gives no members.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
+    ranges = files.select("path", F.explode(F.expr(f"sequence(0L, length - 1, {step}L)")).alias("start"), "length")
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at, start, length in zip(b["path"], b["start"], b["length"]):
+                storage, name = _storage(at)
+                with storage.open_input_file(name) as f:
+                    found = scan(f.read_at(min(step, length - start), start), escaped_at(f, start))
+                yield pd.DataFrame({"path": [at], "start": [start], "length": [length], "odd": [len(found.quotes) % 2 == 1], "outside": [found.depth(False)], "inside": [found.depth(True)]})
+
+    spread_ = lambda df, n: df.repartition(min(max(n, 1), MOST_TASKS))
+    n = files.agg(F.sum(F.ceil(F.col("length") / step))).first()[0] or 0
+    measured = spread_(ranges, n).mapInPandas(measure, "path string, start long, length long, odd boolean, outside long, inside long").collect()  # one row per range
+    by_file: dict[str, list] = {}
+    for r in sorted(measured, key=lambda r: (r.path, r.start)):
+        by_file.setdefault(r.path, []).append(r)
+    states = []
+    for rows in by_file.values():
+        quoted, depth, of_file = False, 0, []
+        for r in rows:
+            of_file.append((r.path, r.start, r.length, quoted, depth))
+            depth += r.inside if quoted else r.outside
+            quoted ^= r.odd
+        if not quoted and depth == 0:
+            states += of_file
+
+    def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at, start, length, quoted, depth in zip(b["path"], b["start"], b["length"], b["quoted"], b["depth"]):
+                storage, name = _storage(at)
+                with storage.open_input_file(name) as f:
+                    members = list(members_from(f, start, min(start + step, length), length, bool(quoted), depth))
+                if members:
+                    yield pd.DataFrame({"member": members})
+
+    begun = spark.createDataFrame(states, "path string, start long, length long, quoted boolean, depth long")
+    return spread_(begun, len(states)).mapInPandas(cut_out, "member string")
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """``(paper_id, text)`` of ``<paper>/document.md`` files, line ends as LF."""
     files = spark.read.option("pathGlobFilter", "document.md").option("recursiveFileLookup", True).text(path, wholetext=True)
