@@ -109,3 +109,23 @@ def test_breaks_at_the_end_are_judged_alike_at_every_size(spark):
         out += [(f"y{i}", "P", "coarse", 0, 200_000 + 10 * i, False, None, "The contracts are long-") for i in range(times)]
         found = {r.unit_id[0] for r in find_noise(units(spark, out))["hyphen"].collect()}
         assert found == {"x"}
+
+
+def test_text_that_only_fine_chunks_hold_is_given(spark):
+    elements = spark.createDataFrame([], "element_id string, paper_id string, page_number int, reading_order int, label string, text string, bbox struct<x1:int,y1:int,x2:int,y2:int>")
+    rows = [
+        ("c0", "C", "coarse", 0, "The output of the firms grows\nwithout a stop. It may grow more. A coarse text"), ("c1", "C", "coarse", 1, None), ("d0", "D", "coarse", 0, "Nothing of the fine text stands here."),
+        ("f0", "C", "fine", 0, "The output of the firms grows without a stop. It may"), ("f1", "C", "fine", 1, "may grow more. Only here do patents count. A coarse text"),
+        ("f2", "C", "fine", 2, "Later the out‐"), ("f3", "C", "fine", 3, "put of these firms falls again. It may grow more."), ("f7", "C", "fine", 7, "it stands alone after what was left out."),
+        ("g0", "D", "fine", 0, "The output of the firms grows without a stop."), ("n0", None, "fine", 0, "Text of no known paper."), ("f1", "C", "fine", 1, "may grow more. Only here do patents count. A coarse text"),
+    ]
+    rows += [(f"b{i}", "B", "coarse", i, "The output is high.") for i in range(5)]
+    chunks = spark.createDataFrame([(a, b, c, d, False, t, None) for a, b, c, d, t in rows], "chunk_id string, paper_id string, chunk_type string, chunk_index int, overlap_with_previous boolean, text string, paper_title string")
+    got = {}
+    for r in paper_paragraphs(elements, chunks).filter("label = 'fine'").orderBy("paper_id", "place", "part").collect():
+        got.setdefault(r.paper_id, []).append((r.place, r.text))
+    assert got == {
+        None: [(0, "Text of no known paper.")],
+        "C": [(1, "Only here do patents count."), (2, "Later the output of these firms falls again."), (7, "it stands alone after what was left out.")],
+        "D": [(0, "The output of the firms grows without a stop.")],
+    }

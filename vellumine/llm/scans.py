@@ -580,19 +580,72 @@ def without_overlap(text: str | None, previous: str | None) -> str | None:
     return next((text[m.end() :] for m in reversed(list(re.finditer(r"\n\n", text))) if m.start() and previous.endswith(text[: m.start()])), text)
 
 
-def reading_chunks(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The chunks that hold each paper's text once: the coarse ones, or all where it has none; overlaps left out. And the other chunks.
+_PIECE = r"(?<=\n)(?=\s*\n)|(?<=[.!?]\s)"  # where a text is cut into sentences and paragraphs, each with the blanks after it
+RUN = 4  # words
 
-    Chunks ingested twice count once. Only a flag that says there is no overlap keeps a repeated start.
+
+def _pieces_of(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, "\r\n?", "\n"), _PIECE)
+
+
+def _bare(piece: Column) -> Column:
+    return F.btrim(F.regexp_replace(piece, r"\s+", " "))
+
+
+def word_runs(papers: pd.Series, texts: pd.Series, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size the ``(row, run)`` of every run of so many words: the row's place and a hash of paper and words."""
+    words = [t.split() for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    flat = np.array([x for w in words for x in w], object)
+    hashes = pd.util.hash_array(flat, categorize=False) if len(flat) else np.zeros(0, np.uint64)
+    of_paper = pd.util.hash_array(np.array(["" if p is None else p for p in papers], object), categorize=False) if len(papers) else hashes
+    row = np.repeat(np.arange(len(n)), n)
+    left = np.repeat(np.cumsum(n), n) - np.arange(len(flat))  # words from here to the row's end
+    for size in sizes:
+        at = np.flatnonzero(left >= size)
+        run = of_paper[row[at]]
+        for i in range(size):
+            run = (run ^ hashes[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+            run = run ^ (run >> np.uint64(29))
+        yield row[at], run.view(np.int64)
+
+
+def _not_in_coarse(coarse: DataFrame, finer: DataFrame) -> DataFrame:
+    """``(chunk_id, lost)``: the finer chunks with text that no coarse chunk of their paper holds, and the keys of those pieces.
+
+    A piece is held if the paper's coarse chunks have it as a piece or, where their pieces are cut elsewhere, have each of its
+    runs of ``RUN`` words (all its words, if there are fewer).
     """
-    flag = F.col("overlap_with_previous") if "overlap_with_previous" in chunks.columns else F.lit(None).cast("boolean")
-    coarse, finer = chunks.filter("chunk_type = 'coarse'"), chunks.filter("chunk_type is null or chunk_type <> 'coarse'")
-    bare = cut(finer.select("paper_id").distinct().join(coarse.select("paper_id").distinct(), "paper_id", "left_anti"))
-    source, others = coarse, finer
-    if not bare.isEmpty():
-        source, others = coarse.unionByName(finer.join(bare, "paper_id", "left_semi")), finer.join(bare, "paper_id", "left_anti")
+    pieces = lambda df: df.select("chunk_id", "paper_id", F.explode(_pieces_of(F.col("text"))).alias("p")).select("chunk_id", "paper_id", _bare(F.col("p")).alias("p")).filter("p <> ''").withColumn("k", F.xxhash64("paper_id", "p"))
+    missed = cut(pieces(finer).join(pieces(coarse).select("k").distinct(), "k", "left_anti"))
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = b["p"].map(lambda p: len(p.split()))
+            for size in range(1, RUN + 1):
+                some = b[n == size] if size < RUN else b[n >= size]
+                for row, run in word_runs(some["paper_id"], some["p"], (size,)):
+                    yield pd.DataFrame({"k": some["k"].to_numpy()[row], "run": run})
+
+    runs = cut(missed.select("k", "paper_id", "p").distinct().mapInPandas(asked, "k long, run long"))
+    bits = _value_filter(runs.select(F.col("run").alias("av")))
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[b["text"].notna()]
+            for _, run in word_runs(b["paper_id"], b["text"], tuple(range(1, RUN + 1))):
+                at = run % FILTER_BITS
+                yield pd.DataFrame({"run": run[(bits.value[at >> 3] >> (at & 7)) & 1 == 1]})
+
+    there = coarse.select("paper_id", "text").mapInPandas(met, "run long").distinct()
+    lost = runs.join(there, "run", "left_anti").select("k").distinct()
+    return cut(missed.join(lost, "k", "left_semi").groupBy("chunk_id").agg(F.collect_set("k").alias("lost")))
+
+
+def _read_once(source: DataFrame) -> DataFrame:
+    """Each chunk once, without the start that it repeats of the chunk before; ``first`` where there is none before it."""
     read = source.groupBy("chunk_id", "paper_id", "chunk_type", "chunk_index").agg(
-        F.first("paper_title", ignorenulls=True).alias("paper_title"), F.first("text", ignorenulls=True).alias("text"), F.first(flag, ignorenulls=True).alias("overlap")
+        F.first("paper_title", ignorenulls=True).alias("paper_title"), F.first("text", ignorenulls=True).alias("text"), F.first("overlap", ignorenulls=True).alias("overlap"), F.first("lost").alias("lost")
     )
     before = read.select("paper_id", "chunk_type", (F.col("chunk_index") + 1).alias("chunk_index"), F.col("text").alias("previous"))
     before = before.groupBy("paper_id", "chunk_type", "chunk_index").agg(F.max("previous").alias("previous"))
@@ -602,14 +655,41 @@ def reading_chunks(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pd.Series([without_overlap(t, p) for t, p in zip(text, previous)], dtype=object)
 
     met = read.join(before, ["paper_id", "chunk_type", "chunk_index"], "left")
-    return met.withColumn("text", own("text", F.when(F.coalesce("overlap", F.lit(True)), F.col("previous")))).drop("previous", "overlap"), others
+    met = met.withColumn("text", own("text", F.when(F.coalesce("overlap", F.lit(True)), F.col("previous"))))
+    return met.withColumn("first", F.col("previous").isNull()).drop("previous", "overlap")
+
+
+def reading_chunks(chunks: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The chunks that hold each paper's text once: the coarse ones, or all where it has none; overlaps left out. What other
+    chunks hold that the coarse ones do not (None if there is no such text); ``anew`` where it does not go on from the one before. And the rest.
+
+    Chunks ingested twice count once. Only a flag that says there is no overlap keeps a repeated start.
+    """
+    flag = F.col("overlap_with_previous") if "overlap_with_previous" in chunks.columns else F.lit(None).cast("boolean")
+    chunks = chunks.withColumn("overlap", flag).withColumn("lost", F.lit(None).cast("array<bigint>"))
+    coarse, finer = chunks.filter("chunk_type = 'coarse'"), chunks.filter("chunk_type is null or chunk_type <> 'coarse'")
+    bare = cut(finer.select("paper_id").distinct().join(coarse.select("paper_id").distinct(), "paper_id", "left_anti"))
+    source, others = coarse, finer
+    if not bare.isEmpty():
+        source, others = coarse.unionByName(finer.join(bare, "paper_id", "left_semi")), finer.join(bare, "paper_id", "left_anti")
+    more = _not_in_coarse(coarse, others)
+    if more.isEmpty():
+        return _read_once(source).drop("lost", "first"), None, others
+    rest = _read_once(others.drop("lost").join(more, "chunk_id"))
+    kept = lambda p: F.array_contains("lost", F.xxhash64("paper_id", _bare(p)))
+    pieces = F.filter(_pieces_of(F.col("text")), lambda p: _bare(p) != "")
+    anew = F.col("first") | ~F.coalesce(kept(F.get(pieces, F.lit(0))), F.lit(False))
+    text = F.array_join(F.filter(_pieces_of(F.col("text")), lambda p: (_bare(p) == "") | kept(p)), "")
+    rest = rest.select("chunk_id", "paper_id", "chunk_type", "chunk_index", "paper_title", text.alias("text"), anew.alias("anew"))
+    return _read_once(source).drop("lost", "first"), written(rest), others.join(more, "chunk_id", "left_anti")
 
 
 def paper_paragraphs(elements: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(paper_id, page, place, part, label, text)``: each paper's clean paragraphs in reading order.
 
     The text of layout elements and that of chunks are both given, since a paper's chunks do not
-    repeat its elements. Of the chunks see ``reading_chunks``; a row from a chunk has no page, the
+    repeat its elements. Of the chunks see ``reading_chunks``: text that stands only in fine chunks is given as
+    well, only its own sentences. A row from a chunk has no page, the
     chunk's index as ``place``, the paragraph's number in the chunk as ``part`` and the chunk's type
     as ``label``. A paragraph that goes on in a later element or chunk (on the same page or the
     next, past figures and footnotes) is one row at the place where it begins. Elements parsed
@@ -618,20 +698,24 @@ def paper_paragraphs(elements: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     from vellumine.llm.prefix import running_sum
 
-    read, others = reading_chunks(chunks)  # the others are evidence only: their text is in the coarse chunks
-    units = scan_units(elements, read).withColumn("read", F.lit(True)).unionByName(scan_units(elements.limit(0), others).withColumn("read", F.lit(False)))
+    read, more, others = reading_chunks(chunks)  # the others are evidence only: their text is in the coarse chunks
+    state = lambda df, read, anew: df.withColumn("read", F.lit(read)).withColumn("anew", F.lit(anew))
+    none = elements.filter("false")
+    units = state(scan_units(elements, read), True, False).unionByName(state(scan_units(none, others), False, False))
+    for anew in (True, False) if more is not None else ():
+        units = units.unionByName(state(scan_units(none, more.filter(F.col("anew") == anew)), True, anew))
     units = written(units)
     noise = {kind: cut(found) for kind, found in find_noise(units).items()}  # small tables, each read several times
     labels = elements.groupBy(F.col("element_id").alias("unit_id")).agg(F.first("label", ignorenulls=True).alias("label"))
-    one = units.filter("kind = 'element'").groupBy("unit_id", "paper_id", "kind", "page", "place").agg(F.first("text", ignorenulls=True).alias("text"))
+    one = units.filter("kind = 'element'").groupBy("unit_id", "paper_id", "kind", "page", "place").agg(F.first("text", ignorenulls=True).alias("text"), F.lit(False).alias("anew"))
     own = units.filter("read and (kind is null or kind <> 'element')").select(*one.columns)
     clean = repaired_units(one.unionByName(own), noise).filter("text <> ''").join(labels, "unit_id", "left")
     parted = F.posexplode(F.when(F.col("kind") == "element", F.array("text")).otherwise(F.split("text", "\n\n"))).alias("part", "text")
-    clean = clean.select("unit_id", "paper_id", "kind", F.when(F.col("kind") == "element", F.col("page")).alias("page"), "place", F.when(F.col("kind") == "element", F.col("label")).otherwise(F.col("kind")).alias("label"), parted)
+    clean = clean.select("unit_id", "paper_id", "kind", F.when(F.col("kind") == "element", F.col("page")).alias("page"), "place", F.when(F.col("kind") == "element", F.col("label")).otherwise(F.col("kind")).alias("label"), "anew", parted)
     layout = F.col("kind") == "element"
     text = F.col("text").rlike(r"\p{L}\S*\s+\S+\s+\S")  # a lone number or reference is no prose
     flows = F.coalesce(F.when(layout, F.col("label").isin("para", "half_para")).otherwise(~F.col("text").rlike(r"^(?:#{1,6} |[-*+|>!$<]|\d+[.)] )")), F.lit(True)) & text
-    clean = written(clean.withColumn("flows", flows).withColumn("new", F.when(F.col("text").rlike(r"^[\p{Ll}.,;:)]"), 0).otherwise(1)))  # tested once
+    clean = written(clean.withColumn("flows", flows).withColumn("new", F.when(F.col("text").rlike(r"^[\p{Ll}.,;:)]") & ~(F.col("anew") & (F.col("part") == 0)), 0).otherwise(1)).drop("anew"))  # tested once
     prose = clean.filter("flows").withColumn("stream", F.struct("paper_id", "kind"))
     size = prose.agg(F.count("*").alias("n"), F.max("page").alias("p"), F.max(F.when(layout, F.col("place"))).alias("q"), F.max(F.when(~layout, F.col("place"))).alias("c"), F.max("part").alias("s")).first()
     place = F.greatest(F.coalesce("place", F.lit(0)), F.lit(0))
